@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import decontaminate, embeddings, mixing, pii, quality, secrets, simhash, toxicity, urls
+from lineloom.llm import decontaminate, embeddings, mixing, pii, quality, secrets, simhash, substrings, toxicity, urls
 from lineloom.llm.common import crc32_of_id, table
 
 
@@ -30,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_of_id() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_embeddings": op3_embeddings,
     "op4_toxicity": op4_toxicity,
+    "op5_substrings": op5_substrings,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
