@@ -6,8 +6,7 @@ their joint votes given the class: a voter's evidence is shared with those it mo
 voter do not count twice. Its posterior for each document of a bounded training sample is the soft label that
 a linear classifier over words is fitted on. That classifier alone scores documents.
 
-The lexicons start from the words below and are widened by words that training labels mark (a word of toxic rows that hardly any
-other row has). Labels come only from the rows passed in; language, source and id are never features.
+The lexicons start from the words below and are widened by words and word beginnings that training labels mark (``marked``). Labels come only from the rows passed in; language, source and id are never features.
 """
 
 from __future__ import annotations
@@ -37,15 +36,19 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 _AIMED = re.compile(r"\b(?:you|your|u)\b(?:\W+\w+){0,3}\W+\b(?:idiots?|morons?|losers?|scum|clowns?|trash|stupid|pathetic|worthless|disgusting)\b", re.I)
 
 
+#: Lengths of the word beginnings that count as features beside whole words: insults are inflected.
+STEMS = (4, 5, 6)
+
+
 def words(text: str | None) -> set[str]:
-    """Lower-cased words, and the words behind digits and signs that stand for letters."""
+    """Lower-cased words, the words behind digits and signs that stand for letters, and the stems of all (marked by ``^``)."""
     low = (text or "").lower()
     found = set(_TOKEN.findall(low))
     if any(c.isdigit() for c in low) or "@" in low or "$" in low or "!" in low:
         for t in low.split():
             if not t.isalpha() and any(c.isalpha() for c in t):
                 found.add(t.rstrip("!.,;:?").translate(_LEET))
-    return found
+    return found.union(*[["^" + w[:k] for w in found if len(w) >= k] for k in STEMS])
 
 
 def vote(found: set[str], text: str | None, lexicons: list[frozenset[str]]) -> list[int]:
@@ -72,12 +75,13 @@ class LabelModel:
                 c = np.einsum("n,nmv->mv", p, seen) + 0.1
                 chance.append(c / c.sum(1, keepdims=True))
             self.log = np.log(chance[1]) - np.log(chance[0])
-            # correlation within the class: a voter's evidence is divided among the voters that move with it
+            self.log[:, 1] = 0.0  # an abstention says nothing
+            # correlation within the class: a voter's evidence is shared with the voters that move with it
             left = votes - np.outer(1 - post, (chance[0] * values).sum(1)) - np.outer(post, (chance[1] * values).sum(1))
             sd = left.std(0) + 1e-9
             corr = np.abs(left.T @ left / max(n, 1) / np.outer(sd, sd))
             np.fill_diagonal(corr, 1.0)
-            self.weight = 1 / np.maximum(1.0, np.where(corr > 0.3, corr, 0).sum(1))
+            self.weight = 1 / np.sqrt(np.where(corr > 0.3, corr, 0).sum(1).clip(1.0))
             post = self.posterior(votes)
         self.accuracy = chance
 
@@ -87,30 +91,23 @@ class LabelModel:
 
 
 class Classifier:
-    """Logistic regression on presence of words, with a bias; only words of weight are kept."""
-
-    def __init__(self, rows: list[set[str]], target: np.ndarray, min_rows: int = 3, max_words: int = 4000, rounds: int = 300, l2: float = 2e-4) -> None:
-        mass, n = Counter(), Counter()
-        for r, y in zip(rows, target, strict=True):
-            for w in r:
-                n[w] += 1
-                mass[w] += y
+    """Logistic regression on presence of the given features, with a bias."""
+
+    def __init__(self, rows: list[set[str]], target: np.ndarray, chosen: list[str], rounds: int = 400, l2: float = 1e-5) -> None:
         mean = float(target.mean()) if len(target) else 0.0
-        lift = {w: (mass[w] + mean) / (c + 1) for w, c in n.items() if c >= min_rows}
-        chosen = sorted(sorted(lift, key=lambda w: (-abs(lift[w] - mean) * math.sqrt(n[w]), w))[:max_words])
-        at = {w: j for j, w in enumerate(chosen)}
-        pairs = [(i, at[w]) for i, r in enumerate(rows) for w in r if w in at]
+        at = {w: j for j, w in enumerate(sorted(chosen))}
+        pairs = [(i, at[w]) for i, r in enumerate(rows) for w in at.keys() & r]
         ri, rj = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
         w, b, vw, vb = np.zeros(len(at)), math.log((mean + 1e-3) / (1 - mean + 1e-3)), np.full(len(at), 1e-8), 1e-8
-        for _ in range(rounds):  # full-batch gradients with a step per coordinate
-            z = b + np.bincount(ri, w[rj], len(rows)) if len(rows) else np.zeros(0)
+        for _ in range(rounds if len(rows) else 0):  # full-batch gradients with a step per coordinate
+            z = b + np.bincount(ri, w[rj], len(rows))
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-            gw, gb = np.bincount(rj, g[ri], len(at)) / max(len(rows), 1) + l2 * w, g.mean() if len(g) else 0.0
+            gw, gb = np.bincount(rj, g[ri], len(at)) / len(rows) + l2 * w, g.mean()
             vw, vb = vw + gw**2, vb + gb**2
             w, b = w - 0.5 * gw / np.sqrt(vw), b - 0.5 * gb / math.sqrt(vb)
         self.bias = float(b)
-        self.weights = {x: float(w[j]) for x, j in at.items() if abs(w[j]) > 0.05}
-        self.shift, self.scale = 0.0, 1.0
+        self.weights = {x: float(w[j]) for x, j in at.items()}
+        self.shift = 0.0
 
     def margin(self, found: set[str]) -> float:
         get = self.weights.get
@@ -131,26 +128,46 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(found) - self.shift))))
 
 
-def fit(labelled: list[tuple[str | None, int | None]], min_rows: int = 3, purity: float = 0.9) -> Classifier:
-    """The classifier from (text, label) rows; a label may be null, such a row only counts for the label model."""
-    rows = [words(t) for t, _ in labelled]
-    toxic, clean = Counter(), Counter()
-    for r, (_, y) in zip(rows, labelled, strict=True):
-        if y is not None:
-            (toxic if y else clean).update(r)
-    marked = sorted(w for w, c in toxic.items() if c >= min_rows and len(w) > 2 and c >= purity * (c + clean[w]))
-    base = [frozenset(v.split()) for v in LEXICONS.values()]
-    # a word of the lists that labels show to be ordinary does not vote
-    ordinary = {w for lex in base for w in lex if clean[w] >= min_rows and clean[w] > toxic[w]}
-    groups = [g for lex in base if (g := lex - ordinary)]
-    known = frozenset().union(*groups) if groups else frozenset()
-    new = [w for w in marked if w not in known]
-    groups += [frozenset(new[k::3]) for k in range(3) if new[k::3]]
+def marked(rows: list[set[str]], labels: list[int], evidence: float = 25.0, purity: float = 0.9, most: int = 2000) -> list[str]:
+    """Features that labels mark as toxic: nearly only in toxic rows, by more than chance explains.
+
+    ``evidence`` is twice the log likelihood ratio against the base rate; among many rare features some are only in
+    toxic rows by chance, and they stay below it.
+    """
+    n, hit = Counter(), Counter()
+    for r, y in zip(rows, labels, strict=True):
+        n.update(r)
+        if y:
+            hit.update(r)
+    base = min(0.5, max(1e-3, sum(labels) / max(len(labels), 1)))
+    found = []
+    for w, c in hit.items():
+        k, p = n[w], c / n[w]
+        if p >= purity and len(w) > 2:
+            g = 2 * (c * math.log(p / base) + ((k - c) * math.log((1 - p) / (1 - base)) if k > c else 0.0))
+            if g >= evidence:
+                found.append((-g, w))
+    return [w for _, w in sorted(found)[:most]]
+
+
+def fit(labelled: list[tuple[str | None, int]], groups_of: int = 6) -> Classifier:
+    """The classifier from (text, label) rows, label 0 or 1."""
+    rows, y = [words(t) for t, _ in labelled], [int(v) for _, v in labelled]
+    clean, toxic = Counter(), Counter()
+    listed = frozenset(" ".join(LEXICONS.values()).split())
+    for r, v in zip(rows, y, strict=True):
+        (toxic if v else clean).update(listed & r)
+    # a word of the lists that labels show to be ordinary in these languages does not vote
+    groups = [g for v in LEXICONS.values() if (g := frozenset(w for w in v.split() if clean[w] <= toxic[w]))]
+    known = frozenset().union(*groups)
+    new = [w for w in marked(rows, y) if w not in known]
+    groups += [frozenset(new[k::groups_of]) for k in range(groups_of) if new[k::groups_of]]
     votes = np.array([vote(r, t, groups) for r, (t, _) in zip(rows, labelled, strict=True)], dtype=int).reshape(len(rows), -1)
     target = LabelModel(votes).posterior(votes) if len(rows) else np.zeros(0)
-    model = Classifier(rows, target, min_rows)
-    own = [i for i, (_, y) in enumerate(labelled) if y is not None]
-    model.calibrate(np.array([model.margin(rows[i]) for i in own]), np.array([labelled[i][1] for i in own], float))
+    seen = Counter(w for r in rows for w in known & r)
+    model = Classifier(rows, target, [*new, *(w for w in known if seen[w])])
+    if len(rows):
+        model.calibrate(np.array([model.margin(r) for r in rows]), np.array(y, float))
     return model
 
 
