@@ -203,9 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, max_chars
     return fit(sample(docs, labels, held, sample_rows, max_chars, "toxic"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample_rows: int = 3000, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more. All columns stay; there is no shuffle of texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+def clean(docs: DataFrame, model: Classifier, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more. All columns stay; no shuffle, and no id is needed."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
