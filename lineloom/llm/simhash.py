@@ -11,10 +11,12 @@ link between two different fingerprints comes out once: under the first variant
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm.common import components, cut, per_batch, stored
@@ -69,38 +71,43 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def _variants(fp: Column, parts: list[tuple[int, int]]) -> Column:
-    """array<bigint>: each segment with each of its bits masked out, over the number of the masked bit."""
+def _variants(words: list[Column], parts: list[tuple[int, int, int]]) -> Column:
+    """array<bigint>: each segment (word, first bit, width) with each of its bits masked out, over the number of the masked bit."""
     out = []
-    for lo, width in parts:
-        part = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << width) - 1)) if width < BITS else fp
+    for word, lo, width in parts:
+        part = F.shiftrightunsigned(words[word], lo).bitwiseAND(F.lit((1 << width) - 1))
         for bit in range(width):
-            out.append(F.shiftleft(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))), 6).bitwiseOR(F.lit(lo + bit)))
+            out.append(F.shiftleft(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))), 8).bitwiseOR(F.lit(word * BITS + lo + bit)))
     return F.array(*out)
 
 
-def _met_first(x: Column, parts: list[tuple[int, int]], key: Column) -> Column:
-    """Whether ``key`` is the first variant under which a pair with the differing bits ``x`` meets."""
+def _met_first(xs: list[Column], parts: list[tuple[int, int, int]], key: Column) -> Column:
+    """Whether ``key`` is the first variant under which a pair with the differing bits ``xs`` meets."""
     first = F.lit(None).cast("bigint")
-    for lo, width in reversed(parts):
-        diff = F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << width) - 1))
-        at = F.when(diff == 0, F.lit(lo)).otherwise(F.lit(lo) + F.bit_count(diff - 1))  # diff has one bit, so this counts the zeros below it
+    for word, lo, width in reversed(parts):
+        diff = F.shiftrightunsigned(xs[word], lo).bitwiseAND(F.lit((1 << width) - 1))
+        at = F.when(diff == 0, F.lit(word * BITS + lo)).otherwise(F.lit(word * BITS + lo) + F.bit_count(diff - 1))  # diff has one bit, so this counts the zeros below it
         first = F.when(F.bit_count(diff) <= 1, at.cast("bigint")).otherwise(first)
-    return key.bitwiseAND(F.lit(63)) == first
+    return key.bitwiseAND(F.lit(255)) == first
 
 
-def links(classes: DataFrame, distance: int = 4) -> DataFrame:
+def links(classes: DataFrame, distance: int = 4, words: tuple[str, ...] = ("fp",), parts: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(a, b, bits): representatives of distinct fingerprints that differ in 1 to ``distance`` bits, each pair once.
 
-    ``classes`` has fp and rep, bigint and not null, one row per fp. An equality join on the variant's key finds
-    the candidates; the comparison of whole fingerprints is part of the join, so only links leave it.
+    ``classes`` has rep and the bigint ``words`` of a fingerprint, not null, one row per fingerprint, and optionally root: pairs of one root are left out. An
+    equality join on the variant's key finds the candidates; the comparison of whole fingerprints is part of the join, so
+    only links leave it.
     """
-    parts = segments(distance)
-    side = classes.select("fp", "rep", F.explode(_variants(F.col("fp"), parts)).alias("key"))
-    l, r = (side.select(*[F.col(c).alias(f"{c}{k}") for c in side.columns]) for k in "12")
-    x = F.col("fp1").bitwiseXOR(F.col("fp2"))
-    near = (F.col("fp1") < F.col("fp2")) & (F.bit_count(x) <= distance) & _met_first(x, parts, F.col("key1"))
-    return l.join(r, (F.col("key1") == F.col("key2")) & near).select(F.col("rep1").alias("a"), F.col("rep2").alias("b"), F.bit_count(x).alias("bits"))
+    parts = [(0, lo, width) for lo, width in segments(distance)] if parts is None else parts
+    keep = [*words, "rep", *(["root"] if "root" in classes.columns else [])]
+    side = classes.select(*keep, F.explode(_variants([F.col(w) for w in words], parts)).alias("key"))
+    l, r = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns]) for k in "12")
+    xs = [F.col(f"{w}_1").bitwiseXOR(F.col(f"{w}_2")) for w in words]
+    bits = sum((F.bit_count(x) for x in xs[1:]), F.bit_count(xs[0]))
+    near = (F.col("rep_1") < F.col("rep_2")) & (bits <= distance) & _met_first(xs, parts, F.col("key_1"))
+    if "root" in keep:
+        near = near & (F.col("root_1") != F.col("root_2"))
+    return l.join(r, (F.col("key_1") == F.col("key_2")) & near).select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b"), bits.alias("bits"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,11 +129,78 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: in
     return known.union(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("bigint")))
 
 
-def deduplicate(docs: DataFrame, width: int = 5, distance: int = 4, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each component left: the one with the smallest doc_id. All columns are kept.
+#: Words of a wide fingerprint, and the segments of its index: the first 128 bits in eights of 16.
+WIDE = ("f0", "f1", "f2", "f3")
+WIDE_PARTS = [(word, lo, 16) for word in (0, 1) for lo in range(0, BITS, 16)]
+
+
+def wide_fingerprint(text: bytes | None, width: int = 5) -> np.ndarray:
+    """256-bit SimHash of word shingles as four words; zeros without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(4, np.uint64)
+    digest, joined = xxhash.xxh3_128_digest, b" ".join(words)
+    if len(words) <= width:
+        starts, ends = [0], [len(joined)]
+    else:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1)
+        starts = (ends - sizes - 1)[: len(words) - width + 1].tolist()
+        ends = (ends[width - 1 :] - 1).tolist()
+    n, ones = len(starts), np.zeros(4 * BITS, np.int64)
+    for at in range(0, n, BLOCK):
+        h = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]), ">u8").astype(np.uint64).reshape(-1, 2)
+        more = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        more ^= more >> np.uint64(28)
+        for k, column in enumerate((h[:, 0], h[:, 1], more[:, 0], more[:, 1])):
+            ones[k * BITS : (k + 1) * BITS] += _ones(column.astype(">u8").tobytes())
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
+
 
-    Rows with a null doc_id have no component and stay. Of rows that repeat a kept doc_id, all stay.
+def bits_at(similarity: float, bits: int = 4 * BITS) -> int:
+    """Differing bits expected of two texts whose shingle sets have the given Jaccard similarity, plus one standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents whose word shingles are about ``similarity`` alike or more, linked in chains.
+
+    The wide fingerprint's differing bits estimate the similarity. Large groups of near copies are first contracted by links between
+    neighbours in sorted segments (a row gives one link per segment at most); the one-wildcard index then compares only fingerprints that
+    are not in one group yet, so a group never becomes all its pairs. Rows with a null id are left out.
+    """
+    limit = bits_at(similarity)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.array([wide_fingerprint(t.as_py(), width) for t in batch.column(1).cast(pa.large_binary())], np.uint64).reshape(-1, 4).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(4)]], ["doc_id", *WIDE])
+
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    prints = stored(plain.mapInArrow(per_batch(run), "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"), "wide")
+    classes = stored(prints.groupBy(*WIDE).agg(F.min("doc_id").alias("rep")), "classes")
+    # links along sorted segments
+    parts = [(word, lo) for word in range(4) for lo in range(0, BITS, 16)]
+    tags = [F.shiftleft(F.shiftrightunsigned(F.col(WIDE[w]), lo).bitwiseAND(F.lit(0xFFFF)), 8).bitwiseOR(F.lit(k)) for k, (w, lo) in enumerate(parts)]
+    side = classes.select("rep", *WIDE, F.explode(F.array(*tags)).alias("key"))
+    turned = F.when(F.col("key").bitwiseAND(F.lit(255)) < 8, F.col("f2")).otherwise(F.col("f0"))
+    w = Window.partitionBy("key").orderBy(turned, "rep")
+    last = side.withColumn("last", F.lag(F.struct("rep", *WIDE)).over(w)).where("last is not null")
+    bits = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"last.{x}"))) for x in WIDE[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("last.f0"))))
+    chained = components(last.where(bits <= limit).select(F.col("rep").alias("a"), F.col("last.rep").alias("b")).where("a <> b"))
+    rooted = stored(classes.join(chained, F.col("rep") == F.col("node"), "left").select("rep", *WIDE, F.coalesce("component", "rep").alias("root")), "rooted")
+    near = links(rooted, limit, WIDE, WIDE_PARTS).select("a", "b")
+    tied = rooted.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    found = components(near.union(tied))
+    roots = classes.join(found, F.col("rep") == F.col("node"), "left").select(*WIDE, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(roots, list(WIDE)).select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies left: the one with the smallest doc_id. All columns are kept.
+
+    Rows with a null doc_id are in no group and stay. Of rows that repeat a kept doc_id, all stay.
     """
-    found = near_duplicates(docs, width, distance, seed)
+    found = stored(similar_groups(docs, width, similarity), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
