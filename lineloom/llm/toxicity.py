@@ -162,7 +162,7 @@ def fit(labelled: list[tuple[str | None, int]], groups_of: int = 6) -> Classifie
     known = frozenset().union(*groups)
     new = [w for w in marked(rows, y) if w not in known]
     groups += [frozenset(new[k::groups_of]) for k in range(groups_of) if new[k::groups_of]]
-    votes = np.array([vote(r, t, groups) for r, (t, _) in zip(rows, labelled, strict=True)], dtype=int).reshape(len(rows), -1)
+    votes = np.array([vote(r, t, groups) for r, (t, _) in zip(rows, labelled, strict=True)], dtype=int).reshape(len(rows), len(groups) + 4)
     target = LabelModel(votes).posterior(votes) if len(rows) else np.zeros(0)
     seen = Counter(w for r in rows for w in known & r)
     model = Classifier(rows, target, [*new, *(w for w in known if seen[w])])
