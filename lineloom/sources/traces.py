@@ -46,7 +46,8 @@ def read_wide(spark: SparkSession, path: str, collection: str, ids: list[int] |
     points = [F.struct(F.lit(i).alias("pattern_id"), *[F.col(f"`{_PREFIX[c]}{i}`").alias(c) for c in "xy"]) for i in ids]
     if not points:
         return spark.createDataFrame([], "collection string, pattern_id int, step bigint, x double, y double")
-    long = wide.select(F.monotonically_increasing_id().alias("step"), F.explode(F.array(*points)).alias("p"))
+    numbered = wide.withColumn("step", F.monotonically_increasing_id())  # before the explode, which would number its own rows
+    long = numbered.select("step", F.explode(F.array(*points)).alias("p"))
     return long.select(F.lit(collection).alias("collection"), "p.pattern_id", "step", "p.x", "p.y").where("x is not null and y is not null")
 
 
