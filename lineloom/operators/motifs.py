@@ -72,7 +72,7 @@ def stamp(placement: DataFrame, node: DataFrame, key: Sequence[str] = KEY, by: S
     return made.groupBy(*key, *by, *ENDS).agg(F.count("*").alias("n"))
 
 
-#: Cost of one edge, one placement and one residual strand in the description of a pattern.
+#: Cost of an edge (and of a residual strand) and of a placement in the description of a pattern.
 EDGE_COST, PLACEMENT_COST = 4, 3
 
 

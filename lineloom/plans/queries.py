@@ -35,9 +35,10 @@ def _node(spark, d):
     return graph.nodes(_visit(spark, d))
 
 
-def _some_edge(spark, d):
-    """Edges of two strands in three: a stand-in for what stamps produce."""
-    return graph.edges(_strand(spark, d).where("seq % 3 <> 0"))
+def _made(spark, d):
+    """Strands that stamping every interior window at its own place makes: overlaps add up."""
+    made = motifs.stamp(_window(spark, d), _node(spark, d))
+    return made.withColumnRenamed("n", "mult")
 
 
 def _window(spark, d):
@@ -49,17 +50,17 @@ def _canon(spark, d):
 
 
 def _points(spark, d, side):
-    t = spark.read.parquet(f"{d}/lineitem.parquet").where(F.col("l_linenumber") % 2 == side)
-    return t.select(
-        F.expr("l_orderkey div 40").alias("image_id"),
-        (F.col("l_partkey") * 7 % 900 * 1000 + F.col("l_suppkey") * 13 % 900).alias("idx"),
-        (F.col("l_partkey") * 7 % 900).cast("double").alias("x"),
-        (F.col("l_suppkey") * 13 % 900).cast("double").alias("y"),
-    ).distinct()
+    """Two sets of points per image from all of lineitem: places by part and supplier, and the same places moved a little."""
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    x, y = F.col("l_partkey") * 7 % 900, F.col("l_suppkey") * 13 % 900
+    if side == "truth":
+        x, y = x + F.col("l_orderkey") % 41, y + F.col("l_linenumber") * 7 % 23
+    p = t.select(F.expr("l_orderkey div 40").alias("image_id"), (x * 10_000 + y).cast("bigint").alias("idx"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return p.distinct()
 
 
 def _pr(spark, d):
-    return matching.match_metrics(_points(spark, d, 1), _points(spark, d, 0), 30.0)
+    return matching.match_metrics(_points(spark, d, "det"), _points(spark, d, "truth"), 30.0)
 
 
 def _parts(spark, d):
@@ -113,7 +114,7 @@ def stamped_edges(spark, d):
 
 
 def duplicates_source(spark, d):
-    e = _some_edge(spark, d)
+    e = _made(spark, d)
     ends = e.select("pattern_id", F.col("ax").alias("x"), F.col("ay").alias("y")).union(e.select("pattern_id", "bx", "by")).distinct()
     found = multiset.duplicates_source(ends, e, _node(spark, d), _edge(spark, d))
     return found.withColumn("duplicates", F.when(F.col("duplicates").isNull(), "other layout").when(F.col("duplicates"), "yes").otherwise("no"))
@@ -133,7 +134,7 @@ def single_stroke_gate(spark, d):
 
 
 def tolerance_match(spark, d):
-    return matching.nearest(_points(spark, d, 1), _points(spark, d, 0), 30.0).withColumn("dist", F.round("dist", 9))
+    return matching.nearest(_points(spark, d, "det"), _points(spark, d, "truth"), 30.0).withColumn("dist", F.round("dist", 9))
 
 
 def detector_summary(spark, d):
@@ -142,11 +143,11 @@ def detector_summary(spark, d):
 
 
 def nearest_spacing(spark, d):
-    return matching.dot_radius(_points(spark, d, 1), 100.0).withColumns({c: F.round(c, 9) for c in ("spacing", "radius")})
+    return matching.dot_radius(_points(spark, d, "det"), 100.0).withColumns({c: F.round(c, 9) for c in ("spacing", "radius")})
 
 
 def fp_rate(spark, d):
-    return stats.false_positive_rate(_pr(spark, d).where("n_truth % 2 = 0"))
+    return stats.false_positive_rate(_pr(spark, d))
 
 
 def summary_stats(spark, d):
@@ -171,7 +172,7 @@ def dotted_classifier(spark, d):
 
 
 def _heat(spark, d):
-    return heatmap.gaussian(_points(spark, d, 0).where("image_id < 5"), 128, 900.0)
+    return heatmap.gaussian(_points(spark, d, "det"), 64, 900.0, sigma=0.6, reach=1)
 
 
 def gaussian_heatmap(spark, d):
@@ -187,7 +188,7 @@ def description_length(spark, d):
 
 
 def reconstruct(spark, d):
-    r = generate.reconstruct(_edge(spark, d), _some_edge(spark, d))
+    r = generate.reconstruct(_edge(spark, d), _made(spark, d))
     return r.select("pattern_id", *_ENDS, (F.col("kept") + F.col("deficit")).alias("mult")).where("mult > 0")
 
 
@@ -220,15 +221,15 @@ QUERIES: dict[str, Query] = {
     "dominant_motif_symmetric": dominant_motif_symmetric,
     "candidate_groups": candidate_groups,
     "stamped_edges": stamped_edges,
-    "reconcile_pairs": lambda s, d: generate.reconstruct(_edge(s, d), _some_edge(s, d)),
-    "compare_to_source": lambda s, d: generate.compare_to_source(generate.reconstruct(_edge(s, d), _some_edge(s, d))),
-    "multiset_intersect": lambda s, d: multiset.intersect(_edge(s, d), _some_edge(s, d)),
-    "multiset_minus": lambda s, d: multiset.minus(_edge(s, d), _some_edge(s, d)),
-    "multiset_plus": lambda s, d: multiset.plus(_edge(s, d), _some_edge(s, d)),
-    "union_pairs": lambda s, d: multiset.union_pairs(_edge(s, d), _some_edge(s, d)),
-    "self_consistency": lambda s, d: multiset.self_consistency(_edge(s, d), _some_edge(s, d)),
+    "reconcile_pairs": lambda s, d: generate.reconstruct(_edge(s, d), _made(s, d)),
+    "compare_to_source": lambda s, d: generate.compare_to_source(generate.reconstruct(_edge(s, d), _made(s, d))),
+    "multiset_intersect": lambda s, d: multiset.intersect(_edge(s, d), _made(s, d)),
+    "multiset_minus": lambda s, d: multiset.minus(_edge(s, d), _made(s, d)),
+    "multiset_plus": lambda s, d: multiset.plus(_edge(s, d), _made(s, d)),
+    "union_pairs": lambda s, d: multiset.union_pairs(_edge(s, d), _made(s, d)),
+    "self_consistency": lambda s, d: multiset.self_consistency(_edge(s, d), _made(s, d)),
     "duplicates_source": duplicates_source,
-    "edge_recall": lambda s, d: multiset.edge_recall(_edge(s, d), _some_edge(s, d)),
+    "edge_recall": lambda s, d: multiset.edge_recall(_edge(s, d), _made(s, d)),
     "motif_library": motif_library,
     "connected_components": lambda s, d: graph.component_roots(_node(s, d), _edge(s, d)),
     "validity_report": validity_report,
@@ -236,8 +237,8 @@ QUERIES: dict[str, Query] = {
     "tolerance_match": tolerance_match,
     "precision_recall": _pr,
     "detector_summary": detector_summary,
-    "agreement": lambda s, d: matching.agreement(_points(s, d, 1), _points(s, d, 0), 30.0),
-    "one_to_one_match": lambda s, d: matching.one_to_one(_points(s, d, 1), _points(s, d, 0), 30.0),
+    "agreement": lambda s, d: matching.agreement(_points(s, d, "det"), _points(s, d, "truth"), 30.0),
+    "one_to_one_match": lambda s, d: matching.one_to_one(_points(s, d, "det"), _points(s, d, "truth"), 30.0),
     "nearest_spacing": nearest_spacing,
     "symmetry_error": lambda s, d: matching.symmetry_errors(_trace(s, d), ("pattern_id",)),
     "fp_rate": fp_rate,

@@ -28,18 +28,19 @@ _CTE = {
     "cimg0": "SELECT canon, i, name, [p*e[1]+q*e[2], r*e[1]+s*e[2], p*e[3]+q*e[4], r*e[3]+s*e[4]] AS e FROM (SELECT canon, unnest(canon) AS e FROM (SELECT DISTINCT canon FROM canon0)), d4",
     "cimg": "SELECT canon, i, name, list_sort(list(CASE WHEN e[3] < e[1] OR (e[3] = e[1] AND e[4] < e[2]) THEN [e[3], e[4], e[1], e[2]] ELSE e END)) AS image FROM cimg0 GROUP BY ALL",
     "turn0": "SELECT c.motif, min_by(b.name, b.i) AS transform FROM canon0 c JOIN cimg b ON b.canon = c.canon AND b.image = c.motif GROUP BY c.motif",
-    "det": "SELECT DISTINCT l_orderkey // 40 AS image_id, (l_partkey * 7 % 900) * 1000 + l_suppkey * 13 % 900 AS idx, (l_partkey * 7 % 900)::DOUBLE AS x, (l_suppkey * 13 % 900)::DOUBLE AS y FROM lineitem WHERE l_linenumber % 2 = 1",
-    "truth": "SELECT DISTINCT l_orderkey // 40 AS image_id, (l_partkey * 7 % 900) * 1000 + l_suppkey * 13 % 900 AS idx, (l_partkey * 7 % 900)::DOUBLE AS x, (l_suppkey * 13 % 900)::DOUBLE AS y FROM lineitem WHERE l_linenumber % 2 = 0",
+    "det": "SELECT DISTINCT l_orderkey // 40 AS image_id, (l_partkey * 7 % 900) * 10000 + l_suppkey * 13 % 900 AS idx, (l_partkey * 7 % 900)::DOUBLE AS x, (l_suppkey * 13 % 900)::DOUBLE AS y FROM lineitem",
+    "truth": "SELECT DISTINCT l_orderkey // 40 AS image_id, (l_partkey * 7 % 900 + l_orderkey % 41) * 10000 + l_suppkey * 13 % 900 + l_linenumber::BIGINT * 7 % 23 AS idx, (l_partkey * 7 % 900 + l_orderkey % 41)::DOUBLE AS x, (l_suppkey * 13 % 900 + l_linenumber * 7 % 23)::DOUBLE AS y FROM lineitem",
     "near": "SELECT d.image_id, d.idx, t.idx AS other, sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y)) AS dist FROM det d JOIN truth t ON d.image_id = t.image_id AND abs(d.x - t.x) < 30 AND abs(d.y - t.y) < 30 WHERE sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y)) < 30",
     "hits": "SELECT image_id, count(DISTINCT idx) AS hit_det, count(DISTINCT other) AS hit_truth FROM near GROUP BY 1",
     "sides": "SELECT image_id, coalesce(n_det, 0) AS n_det, coalesce(n_truth, 0) AS n_truth, coalesce(hit_det, 0) AS hit_det, coalesce(hit_truth, 0) AS hit_truth FROM (SELECT image_id, count(*) AS n_det FROM det GROUP BY 1) FULL JOIN (SELECT image_id, count(*) AS n_truth FROM truth GROUP BY 1) USING (image_id) LEFT JOIN hits USING (image_id)",
     "pr": "SELECT *, CASE WHEN n_det = 0 THEN 1.0 WHEN n_truth = 0 THEN 0.0 ELSE hit_det / n_det END::DOUBLE AS precision, CASE WHEN n_truth = 0 THEN 1.0 ELSE hit_truth / n_truth END::DOUBLE AS recall FROM sides",
-    "odd_edge": "SELECT pattern_id, ax, ay, bx, by, count(*) AS mult FROM strand WHERE seq % 3 <> 0 GROUP BY ALL",
+    "made0": "SELECT pattern_id, e[1] + x AS ax, e[2] + y AS ay, e[3] + x AS bx, e[4] + y AS by FROM (SELECT pattern_id, x, y, unnest(motif) AS e FROM win)",
+    "made": "SELECT m.pattern_id, ax, ay, bx, by, count(*) AS mult FROM made0 m JOIN node a ON a.pattern_id = m.pattern_id AND a.x = ax AND a.y = ay JOIN node b ON b.pattern_id = m.pattern_id AND b.x = bx AND b.y = by GROUP BY ALL",
     "sup": "SELECT l_suppkey AS pattern_id, l_partkey AS p, count(*) AS mult FROM lineitem GROUP BY ALL",
 }
 _NEEDS = {
     "dot": ["trace"], "lagged": ["dot"], "visit": ["lagged"], "pair": ["visit"], "strand": ["pair"], "edge": ["strand"], "node": ["visit"], "fin": ["edge"], "degree": ["node", "fin"], "box": ["node"], "inner1": ["box"], "rel": ["inner1", "edge"],
-    "many": ["rel"], "win": ["many"], "img0": ["win", "d4"], "img": ["img0"], "canon0": ["img"], "canon": ["canon0"], "cimg0": ["canon0", "d4"], "cimg": ["cimg0"], "turn0": ["cimg"], "near": ["det", "truth"], "hits": ["near"], "sides": ["hits"], "pr": ["sides"], "odd_edge": ["strand"],
+    "many": ["rel"], "win": ["many"], "img0": ["win", "d4"], "img": ["img0"], "canon0": ["img"], "canon": ["canon0"], "cimg0": ["canon0", "d4"], "cimg": ["cimg0"], "turn0": ["cimg"], "near": ["det", "truth"], "hits": ["near"], "sides": ["hits"], "pr": ["sides"], "made0": ["win"], "made": ["made0", "node"],
 }
 
 
@@ -80,7 +81,7 @@ _BEST = "best AS (SELECT pattern_id, count(*) AS components, sum(n) AS n_nodes,
 _VALID = ", ".join((_LINK, _REACH, _ROOT, _PART, _BEST))
 _VALIDITY = "SELECT pattern_id, components, odd1 = 0 AS is_eulerian_circuit, odd1 IN (0, 2) AS has_eulerian_path, n1 = n_nodes AS largest_covers_all, n1 = n_nodes AND odd1 IN (0, 2) AS single_stroke FROM best"
 
-_RECON = "SELECT pattern_id, ax, ay, bx, by, coalesce(e.mult, 0) AS target, coalesce(o.mult, 0) AS produced FROM edge e FULL JOIN odd_edge o USING (pattern_id, ax, ay, bx, by)"
+_RECON = "SELECT pattern_id, ax, ay, bx, by, coalesce(e.mult, 0) AS target, coalesce(o.mult, 0) AS produced FROM edge e FULL JOIN made o USING (pattern_id, ax, ay, bx, by)"
 
 ORACLE: dict[str, str] = {
     "trace_summary": build(
@@ -116,24 +117,24 @@ ORACLE: dict[str, str] = {
         "JOIN node a ON a.pattern_id = k.pattern_id AND a.x = k.ax AND a.y = k.ay JOIN node b ON b.pattern_id = k.pattern_id AND b.x = k.bx AND b.y = k.by GROUP BY ALL",
         "canon",
     ),
-    "reconcile_pairs": build(f"SELECT *, least(target, produced) AS kept, greatest(produced - target, 0) AS excess, greatest(target - produced, 0) AS deficit FROM ({_RECON})", "edge", "odd_edge"),
+    "reconcile_pairs": build(f"SELECT *, least(target, produced) AS kept, greatest(produced - target, 0) AS excess, greatest(target - produced, 0) AS deficit FROM ({_RECON})", "edge", "made"),
     "compare_to_source": build(
         "SELECT pattern_id, sum(target)::BIGINT AS source_strands, count_if(target > 0) AS source_pairs, sum(produced)::BIGINT AS produced_strands, count_if(produced > 0) AS produced_pairs, sum(least(target, produced))::BIGINT AS kept_strands, count_if(least(target, produced) > 0) AS kept_pairs, "
         "sum(greatest(target - produced, 0))::BIGINT AS residual_strands, count_if(target > produced) AS residual_pairs, sum(greatest(produced - target, 0))::BIGINT AS excess_strands, count_if(produced > target) AS excess_pairs, true AS self_consistent, "
         f"CASE WHEN count_if(target > 0) > 0 THEN count_if(least(target, produced) > 0) / count_if(target > 0) ELSE 1.0 END::DOUBLE AS pair_recall, CASE WHEN sum(target) > 0 THEN sum(least(target, produced))::DOUBLE / sum(target)::DOUBLE ELSE 1.0 END::DOUBLE AS strand_recall FROM ({_RECON}) GROUP BY 1",
-        "edge", "odd_edge",
+        "edge", "made",
     ),
-    "multiset_intersect": build("SELECT pattern_id, ax, ay, bx, by, least(e.mult, o.mult) AS mult FROM edge e JOIN odd_edge o USING (pattern_id, ax, ay, bx, by)", "edge", "odd_edge"),
-    "multiset_minus": build("SELECT pattern_id, ax, ay, bx, by, e.mult - coalesce(o.mult, 0) AS mult FROM edge e LEFT JOIN odd_edge o USING (pattern_id, ax, ay, bx, by) WHERE e.mult > coalesce(o.mult, 0)", "edge", "odd_edge"),
-    "multiset_plus": build("SELECT pattern_id, ax, ay, bx, by, sum(mult)::BIGINT AS mult FROM (SELECT * FROM edge UNION ALL SELECT * FROM odd_edge) GROUP BY ALL", "edge", "odd_edge"),
-    "union_pairs": build("SELECT pattern_id, ax, ay, bx, by FROM edge UNION SELECT pattern_id, ax, ay, bx, by FROM odd_edge", "edge", "odd_edge"),
-    "self_consistency": build("SELECT pattern_id, bool_and(e.mult IS NOT DISTINCT FROM o.mult) AS consistent FROM edge e FULL JOIN odd_edge o USING (pattern_id, ax, ay, bx, by) GROUP BY 1", "edge", "odd_edge"),
+    "multiset_intersect": build("SELECT pattern_id, ax, ay, bx, by, least(e.mult, o.mult) AS mult FROM edge e JOIN made o USING (pattern_id, ax, ay, bx, by)", "edge", "made"),
+    "multiset_minus": build("SELECT pattern_id, ax, ay, bx, by, e.mult - coalesce(o.mult, 0) AS mult FROM edge e LEFT JOIN made o USING (pattern_id, ax, ay, bx, by) WHERE e.mult > coalesce(o.mult, 0)", "edge", "made"),
+    "multiset_plus": build("SELECT pattern_id, ax, ay, bx, by, sum(mult)::BIGINT AS mult FROM (SELECT * FROM edge UNION ALL SELECT * FROM made) GROUP BY ALL", "edge", "made"),
+    "union_pairs": build("SELECT pattern_id, ax, ay, bx, by FROM edge UNION SELECT pattern_id, ax, ay, bx, by FROM made", "edge", "made"),
+    "self_consistency": build("SELECT pattern_id, bool_and(e.mult IS NOT DISTINCT FROM o.mult) AS consistent FROM edge e FULL JOIN made o USING (pattern_id, ax, ay, bx, by) GROUP BY 1", "edge", "made"),
     "duplicates_source": build(
         "SELECT n.pattern_id, CASE WHEN NOT n.same THEN 'other layout' WHEN coalesce(c.consistent, true) THEN 'yes' ELSE 'no' END AS duplicates FROM (SELECT pattern_id, bool_and(a AND b) AS same FROM (SELECT pattern_id, coalesce(p.o, false) AS a, coalesce(q.o, false) AS b FROM (SELECT *, true AS o FROM ends0) p FULL JOIN (SELECT *, true AS o FROM node) q USING (pattern_id, x, y)) GROUP BY 1) n "
-        "LEFT JOIN (SELECT pattern_id, bool_and(e.mult IS NOT DISTINCT FROM o.mult) AS consistent FROM edge e FULL JOIN odd_edge o USING (pattern_id, ax, ay, bx, by) GROUP BY 1) c USING (pattern_id)".replace("ends0", "(SELECT pattern_id, ax AS x, ay AS y FROM odd_edge UNION SELECT pattern_id, bx, by FROM odd_edge)"),
-        "edge", "odd_edge", "node",
+        "LEFT JOIN (SELECT pattern_id, bool_and(e.mult IS NOT DISTINCT FROM o.mult) AS consistent FROM edge e FULL JOIN made o USING (pattern_id, ax, ay, bx, by) GROUP BY 1) c USING (pattern_id)".replace("ends0", "(SELECT pattern_id, ax AS x, ay AS y FROM made UNION SELECT pattern_id, bx, by FROM made)"),
+        "edge", "made", "node",
     ),
-    "edge_recall": build("SELECT pattern_id, count(*) AS n_pairs, count(o.mult) AS n_found, count(o.mult) / count(*) AS recall FROM edge LEFT JOIN odd_edge o USING (pattern_id, ax, ay, bx, by) GROUP BY 1", "edge", "odd_edge"),
+    "edge_recall": build("SELECT pattern_id, count(*) AS n_pairs, count(o.mult) AS n_found, count(o.mult) / count(*) AS recall FROM edge LEFT JOIN made o USING (pattern_id, ax, ay, bx, by) GROUP BY 1", "edge", "made"),
     "motif_library": build(f"SELECT {text('canon')} AS motif, min(pattern_id) AS first_pattern, count(DISTINCT pattern_id) AS n_patterns FROM canon WHERE len(canon) > 0 GROUP BY canon", "canon"),
     "connected_components": build("SELECT pattern_id, x, y, r[1]::INT AS root_x, r[2]::INT AS root_y FROM root".replace("r[1]::INT", "struct_extract_at(r, 1)").replace("r[2]::INT", "struct_extract_at(r, 2)"), "node", "edge", recursive=", ".join((_LINK, _REACH, _ROOT))),
     "validity_report": build(_VALIDITY, "node", "edge", "degree", recursive=_VALID),
@@ -146,7 +147,7 @@ ORACLE: dict[str, str] = {
         "SELECT image_id, count(*) AS n_points, round(median(dist), 9) AS spacing, round(coalesce(CASE WHEN count(*) >= 2 THEN median(dist) * 0.3 END, 5.0), 9) AS radius FROM (SELECT d.image_id, d.idx, min(sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y))) FILTER (sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y)) <= 100) AS dist FROM det d LEFT JOIN det t ON d.image_id = t.image_id AND d.idx <> t.idx GROUP BY 1, 2) GROUP BY 1",
         "det",
     ),
-    "fp_rate": build("SELECT count(*) AS n_images, count_if(n_det > 0) AS n_false, avg((n_det > 0)::INT::DOUBLE) AS rate FROM sides WHERE n_truth % 2 = 0", "sides"),
+    "fp_rate": build("SELECT count(*) AS n_images, count_if(n_det > 0) AS n_false, avg((n_det > 0)::INT::DOUBLE) AS rate FROM sides", "sides"),
     "summary_stats": build("SELECT count(n) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS min, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, max(n) AS max FROM (SELECT pattern_id, sum(mult)::BIGINT AS n FROM edge GROUP BY 1)", "edge"),
     "top10_path_length": build("SELECT pattern_id, count(*) AS n_points FROM trace GROUP BY 1 ORDER BY n_points DESC, pattern_id LIMIT 10", "trace"),
     "cumulative_recall": build(
@@ -161,8 +162,8 @@ ORACLE: dict[str, str] = {
     "failure_reasons": build("SELECT reason, count(*) AS n_images FROM (SELECT CASE WHEN n_det = 0 THEN 'nothing_found' WHEN n_truth = 0 THEN 'no_truth' WHEN f1 < 0.5 THEN 'poor_match' WHEN n_det > 2 * n_truth THEN 'too_many' ELSE 'ok' END AS reason FROM (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pr)) GROUP BY 1", "pr"),
     "dotted_classifier": build("SELECT pattern_id, n_nodes, n_odd, n_odd / n_nodes <= 0.5 AS dotted FROM (SELECT pattern_id, count(*) AS n_nodes, count_if(degree % 2 = 1) AS n_odd FROM degree GROUP BY 1)", "degree"),
     "gaussian_heatmap": build(
-        "SELECT image_id, r AS row, c AS col, round(max(exp(-((x / 900.0 * 128 - c) ** 2 + (y / 900.0 * 128 - r) ** 2) / (2 * 1.2 * 1.2))), 6) AS v FROM (SELECT image_id, x, y, unnest(range(greatest(floor(x / 900.0 * 128)::INT - 4, 0), least(floor(x / 900.0 * 128)::INT + 5, 128))) AS c FROM truth WHERE image_id < 5), LATERAL (SELECT unnest(range(greatest(floor(y / 900.0 * 128)::INT - 4, 0), least(floor(y / 900.0 * 128)::INT + 5, 128))) AS r) GROUP BY ALL",
-        "truth",
+        "SELECT image_id, r AS row, c AS col, round(max(exp(-((x / 900.0::DOUBLE * 64 - c) ** 2 + (y / 900.0::DOUBLE * 64 - r) ** 2) / (2 * 0.6::DOUBLE * 0.6::DOUBLE))), 6) AS v FROM (SELECT image_id, x, y, unnest(range(greatest(floor(x / 900.0::DOUBLE * 64)::INT - 1, 0), least(floor(x / 900.0::DOUBLE * 64)::INT + 2, 64))) AS c FROM det), LATERAL (SELECT unnest(range(greatest(floor(y / 900.0::DOUBLE * 64)::INT - 1, 0), least(floor(y / 900.0::DOUBLE * 64)::INT + 2, 64))) AS r) GROUP BY ALL",
+        "det",
     ),
     "description_length": build(
         f"SELECT pattern_id, n_strands, size, CASE WHEN size > 0 THEN 4 * n_strands / size ELSE 0.0 END::DOUBLE AS ratio FROM (SELECT e.pattern_id, e.n_strands, (coalesce(m.cost, 0) + 4 * e.n_strands)::BIGINT AS size FROM (SELECT pattern_id, sum(mult)::BIGINT AS n_strands FROM edge GROUP BY 1) e LEFT JOIN (SELECT pattern_id, sum(4 * len(canon) + 3 * n) AS cost FROM (SELECT pattern_id, canon, count(*) AS n FROM canon WHERE len(canon) > 0 GROUP BY ALL) GROUP BY 1) m USING (pattern_id))",

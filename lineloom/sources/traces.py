@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_COLUMN = re.compile(r"x-kolam (\d+)$")
+#: The headers of a wide trace file are these prefixes and a pattern's number.
 _PREFIX = {"x": "x-kolam ", "y": "y-kolam "}
+_COLUMN = re.compile(_PREFIX["x"] + r"(\d+)$")
 
 
 def pattern_ids(spark: SparkSession, path: str) -> list[int]:
@@ -64,6 +65,7 @@ def lattice(spark: SparkSession, width: int, height: int, pattern_id: int = 0) -
     return xs.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
 
 
+#: Fields of ground-truth documents.
 TRUTH = T.StructType(
     [
         T.StructField("csv_path", T.StringType()),
