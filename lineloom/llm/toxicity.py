@@ -51,12 +51,12 @@ def words(text: str | None) -> set[str]:
     return found.union(*[["^" + w[:k] for w in found if len(w) >= k] for k in STEMS])
 
 
-def vote(found: set[str], text: str | None, lexicons: list[frozenset[str]]) -> list[int]:
-    """1 toxic, -1 clean, 0 abstains: one per lexicon, then the patterns and the voter for texts without any hit."""
+def vote(found: set[str], n_words: int, text: str | None, lexicons: list[frozenset[str]]) -> list[int]:
+    """1 toxic, -1 clean, 0 abstains: one per lexicon, then the patterns and the voters for texts without any hit."""
     hits = [1 if not lex.isdisjoint(found) else 0 for lex in lexicons]
     total = sum(hits)
     aimed = 1 if total and _AIMED.search(text or "") else 0
-    return [*hits, 1 if total >= 2 else 0, aimed, 0 if total else -1, 0 if total or len(found) < 5 else -1]
+    return [*hits, 1 if total >= 2 else 0, aimed, 0 if total else -1, 0 if total or n_words < 5 else -1]
 
 
 class LabelModel:
@@ -128,22 +128,20 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(found) - self.shift))))
 
 
-def marked(rows: list[set[str]], labels: list[int], evidence: float = 25.0, purity: float = 0.9, most: int = 2000) -> list[str]:
+def marked(labelled: list[tuple[str | None, int]], evidence: float = 25.0, purity: float = 0.9, most: int = 2000) -> list[str]:
     """Features that labels mark as toxic: nearly only in toxic rows, by more than chance explains.
 
     ``evidence`` is twice the log likelihood ratio against the base rate; among many rare features some are only in
-    toxic rows by chance, and they stay below it.
+    toxic rows by chance, and they stay below it. Only what toxic rows alone could lift over it is counted in all rows.
     """
-    n, hit = Counter(), Counter()
-    for r, y in zip(rows, labels, strict=True):
-        n.update(r)
-        if y:
-            hit.update(r)
-    base = min(0.5, max(1e-3, sum(labels) / max(len(labels), 1)))
+    base = min(0.5, max(1e-3, sum(y for _, y in labelled) / max(len(labelled), 1)))
+    hit = Counter(w for t, y in labelled if y for w in words(t) if len(w) > 2)
+    hit = {w: c for w, c in hit.items() if -2 * c * math.log(base) >= evidence}
+    n = Counter(w for t, _ in labelled for w in hit.keys() & words(t))
     found = []
     for w, c in hit.items():
         k, p = n[w], c / n[w]
-        if p >= purity and len(w) > 2:
+        if p >= purity:
             g = 2 * (c * math.log(p / base) + ((k - c) * math.log((1 - p) / (1 - base)) if k > c else 0.0))
             if g >= evidence:
                 found.append((-g, w))
@@ -151,18 +149,24 @@ def marked(rows: list[set[str]], labels: list[int], evidence: float = 25.0, puri
 
 
 def fit(labelled: list[tuple[str | None, int]], groups_of: int = 6) -> Classifier:
-    """The classifier from (text, label) rows, label 0 or 1."""
-    rows, y = [words(t) for t, _ in labelled], [int(v) for _, v in labelled]
-    clean, toxic = Counter(), Counter()
+    """The classifier from (text, label) rows, label 0 or 1. Rows are kept as the few features that can vote."""
+    new = marked(labelled)
     listed = frozenset(" ".join(LEXICONS.values()).split())
+    keep = listed.union(new)
+    rows, sizes, y = [], [], [int(v) for _, v in labelled]
+    for t, _ in labelled:
+        w = words(t)
+        rows.append(keep & w)
+        sizes.append(len(w))
+    clean, toxic = Counter(), Counter()
     for r, v in zip(rows, y, strict=True):
         (toxic if v else clean).update(listed & r)
     # a word of the lists that labels show to be ordinary in these languages does not vote
     groups = [g for v in LEXICONS.values() if (g := frozenset(w for w in v.split() if clean[w] <= toxic[w]))]
     known = frozenset().union(*groups)
-    new = [w for w in marked(rows, y) if w not in known]
+    new = [w for w in new if w not in known]
     groups += [frozenset(new[k::groups_of]) for k in range(groups_of) if new[k::groups_of]]
-    votes = np.array([vote(r, t, groups) for r, (t, _) in zip(rows, labelled, strict=True)], dtype=int).reshape(len(rows), len(groups) + 4)
+    votes = np.array([vote(r, n, t, groups) for r, n, (t, _) in zip(rows, sizes, labelled, strict=True)], dtype=int).reshape(len(rows), len(groups) + 4)
     target = LabelModel(votes).posterior(votes) if len(rows) else np.zeros(0)
     seen = Counter(w for r in rows for w in known & r)
     model = Classifier(rows, target, [*new, *(w for w in known if seen[w])])
