@@ -71,16 +71,28 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def _variants(words: list[Column], parts: list[tuple[int, int, int]]) -> Column:
-    """array<bigint>: each segment (word, first bit, width) with each of its bits masked out, over the number of the masked bit."""
+def _halves(words: list[Column], parts: list[tuple[int, int, int]]) -> Column:
+    """array<struct<half, value>>: both halves of each segment. A variant keeps one of them whole, so halves say where variants go."""
     out = []
-    for word, lo, width in parts:
-        part = F.shiftrightunsigned(words[word], lo).bitwiseAND(F.lit((1 << width) - 1))
-        for bit in range(width):
-            out.append(F.shiftleft(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))), 8).bitwiseOR(F.lit(word * BITS + lo + bit)))
+    for k, (word, lo, width) in enumerate(parts):
+        low = width // 2
+        for h, (at, n) in enumerate(((lo, low), (lo + low, width - low))):
+            out.append(F.struct(F.lit(2 * k + h).alias("half"), F.shiftrightunsigned(words[word], at).bitwiseAND(F.lit((1 << n) - 1)).alias("value")))
     return F.array(*out)
 
 
+def _variants(words: list[Column], parts: list[tuple[int, int, int]], half: Column) -> Column:
+    """array<bigint>: the segment that ``half`` belongs to with each bit of its other half masked out, over the number of the masked bit."""
+    out = F.lit(None).cast("array<bigint>")
+    for k, (word, lo, width) in enumerate(parts):
+        part = F.shiftrightunsigned(words[word], lo).bitwiseAND(F.lit((1 << width) - 1))
+        low = width // 2
+        for h, bits in enumerate((range(low, width), range(low))):
+            masked = F.array(*[F.shiftleft(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))), 8).bitwiseOR(F.lit(word * BITS + lo + bit)) for bit in bits])
+            out = F.when(half == 2 * k + h, masked).otherwise(out)
+    return out
+
+
 def _met_first(xs: list[Column], parts: list[tuple[int, int, int]], key: Column) -> Column:
     """Whether ``key`` is the first variant under which a pair with the differing bits ``xs`` meets."""
     first = F.lit(None).cast("bigint")
@@ -100,14 +112,24 @@ def links(classes: DataFrame, distance: int = 4, words: tuple[str, ...] = ("fp",
     """
     parts = [(0, lo, width) for lo, width in segments(distance)] if parts is None else parts
     keep = [*words, "rep", *(["root"] if "root" in classes.columns else [])]
-    side = classes.select(*keep, F.explode(_variants([F.col(w) for w in words], parts)).alias("key"))
+    # a row per half of a segment is shuffled; the variants that keep this half are made behind the shuffle and join in place
+    dealt = classes.select(*keep, F.explode(_halves([F.col(w) for w in words], parts)).alias("h")).select(*keep, "h.half", "h.value").repartition("half", "value")
+    side = dealt.withColumn("key", F.explode(_variants([F.col(w) for w in words], parts, F.col("half"))))
     l, r = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns]) for k in "12")
     xs = [F.col(f"{w}_1").bitwiseXOR(F.col(f"{w}_2")) for w in words]
     bits = sum((F.bit_count(x) for x in xs[1:]), F.bit_count(xs[0]))
     near = (F.col("rep_1") < F.col("rep_2")) & (bits <= distance) & _met_first(xs, parts, F.col("key_1"))
     if "root" in keep:
         near = near & (F.col("root_1") != F.col("root_2"))
-    return l.join(r, (F.col("key_1") == F.col("key_2")) & near).select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b"), bits.alias("bits"))
+    same = (F.col("half_1") == F.col("half_2")) & (F.col("value_1") == F.col("value_2")) & (F.col("key_1") == F.col("key_2"))
+    found = l.join(r, same & near).select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b"), bits.alias("bits"))
+    conf, name = classes.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")  # the halves alone place equal keys together
+    try:
+        return stored(found, "links")
+    finally:
+        conf.set(name, before)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
