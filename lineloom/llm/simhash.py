@@ -225,4 +225,5 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """
     found = stored(similar_groups(docs, width, similarity), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # ids that go grow with the documents, so they are never broadcast, however few they are
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
