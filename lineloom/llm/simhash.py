@@ -151,11 +151,6 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: in
     return known.union(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("bigint")))
 
 
-#: Words of a wide fingerprint, and the segments of its index: the first 128 bits in eights of 16.
-WIDE = ("f0", "f1", "f2", "f3")
-WIDE_PARTS = [(word, lo, 16) for word in (0, 1) for lo in range(0, BITS, 16)]
-
-
 def wide_fingerprint(text: bytes | None, width: int = 5) -> np.ndarray:
     """256-bit SimHash of word shingles as four words; zeros without words."""
     words = (text or b"").lower().split()
@@ -185,37 +180,107 @@ def bits_at(similarity: float, bits: int = 4 * BITS) -> int:
     return round(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents whose word shingles are about ``similarity`` alike or more, linked in chains.
+#: A shingle set's MinHash index: so many bands of so many values. Two sets of Jaccard J miss each other with (1 - J**ROWS)**BANDS: 0.0002 at 0.8.
+ROWS, BANDS = 7, 36
+_FACTORS = np.random.default_rng(20).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
+#: Pairs per copy of a set that many pairs share, so that one set's pairs are dealt to many tasks.
+SHARE = 256
 
-    The wide fingerprint's differing bits estimate the similarity. Large groups of near copies are first contracted by links between
-    neighbours in sorted segments (a row gives one link per segment at most); the one-wildcard index then compares only fingerprints that
-    are not in one group yet, so a group never becomes all its pairs. Rows with a null id are left out.
-    """
-    limit = bits_at(similarity)
+
+def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of ``text``; of all words if they are fewer than ``width``, none without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, joined = xxhash.xxh3_64_digest, b" ".join(words)
+    if len(words) <= width:
+        starts, ends = [0], [len(joined)]
+    else:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1)
+        starts = (ends - sizes - 1)[: len(words) - width + 1].tolist()
+        ends = (ends[width - 1 :] - 1).tolist()
+    blocks = []
+    for at in range(0, len(starts), BLOCK):
+        blocks.append(np.unique(np.frombuffer(b"".join([digest(joined[s:e]) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]), ">u8").astype(np.uint64)))
+    return blocks[0] if len(blocks) == 1 else np.unique(np.concatenate(blocks))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key per band of the set's MinHash signature; sets meet where a key is equal. None for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 256):
+        np.minimum(least, (low[at : at + 256, None] * _FACTORS).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, s, n, keys, hashes): each row's shingle set, its size and band keys; ``s`` is a hash of the whole set, so equal sets have one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([wide_fingerprint(t.as_py(), width) for t in batch.column(1).cast(pa.large_binary())], np.uint64).reshape(-1, 4).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(4)]], ["doc_id", *WIDE])
+        sets = [shingle_set(t.as_py(), width) for t in batch.column(1).cast(pa.large_binary())]
+        s = np.fromiter((xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets), np.uint64, len(sets)).view(np.int64)
+        n = pa.array([len(h) for h in sets], pa.int32())
+        keys = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), n, keys, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["doc_id", "s", "n", "keys", "hashes"])
 
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    prints = stored(plain.mapInArrow(per_batch(run), "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint"), "wide")
-    classes = stored(prints.groupBy(*WIDE).agg(F.min("doc_id").alias("rep")), "classes")
-    # links along sorted segments
-    parts = [(word, lo) for word in range(4) for lo in range(0, BITS, 16)]
-    tags = [F.shiftleft(F.shiftrightunsigned(F.col(WIDE[w]), lo).bitwiseAND(F.lit(0xFFFF)), 8).bitwiseOR(F.lit(k)) for k, (w, lo) in enumerate(parts)]
-    side = classes.select("rep", *WIDE, F.explode(F.array(*tags)).alias("key"))
-    turned = F.when(F.col("key").bitwiseAND(F.lit(255)) < 8, F.col("f2")).otherwise(F.col("f0"))
-    w = Window.partitionBy("key").orderBy(turned, "rep")
-    last = side.withColumn("last", F.lag(F.struct("rep", *WIDE)).over(w)).where("last is not null")
-    bits = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"last.{x}"))) for x in WIDE[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("last.f0"))))
-    chained = components(last.where(bits <= limit).select(F.col("rep").alias("a"), F.col("last.rep").alias("b")).where("a <> b"))
-    rooted = stored(classes.join(chained, F.col("rep") == F.col("node"), "left").select("rep", *WIDE, F.coalesce("component", "rep").alias("root")), "rooted")
-    near = links(rooted, limit, WIDE, WIDE_PARTS).select("a", "b")
-    tied = rooted.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    found = components(near.union(tied))
-    roots = classes.join(found, F.col("rep") == F.col("node"), "left").select(*WIDE, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(roots, list(WIDE)).select("doc_id", "component_id")
+    return plain.mapInArrow(per_batch(run), "doc_id bigint, s bigint, n int, keys array<bigint>, hashes array<bigint>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): those of the distinct ``pairs`` of sets whose Jaccard similarity, taken on the whole ``sets`` (s, hashes), is ``similarity`` or more."""
+    many = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select("a", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "many")
+    one = F.coalesce("shares", F.lit(1))
+    # at most one in SHARE of the pairs has a row in ``many``
+    dealt = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("share"))
+    left = sets.withColumnRenamed("s", "a").join(F.broadcast(many), "a", "left").select("a", F.col("hashes").alias("ha"), F.explode(F.sequence(F.lit(0), one - 1)).alias("share"))
+    right = sets.select(F.col("s").alias("b"), F.col("hashes").alias("hb"))
+    both = dealt.join(left.hint("merge"), ["a", "share"]).join(right.hint("merge"), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    # |x & y| / (|x| + |y| - |x & y|) >= similarity
+    return both.where(shared * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, linked in chains.
+
+    Candidates share a band of their MinHash signatures; every link is verified on the whole shingle sets. Documents of equal sets are one
+    node. Large groups are first contracted: members of a band are compared with its least member, then those not yet
+    tied to it with another. All pairs that are in no common group are compared after that, so a group never becomes all its pairs. Rows with a null id
+    are left out.
+    """
+    found = stored(shingle_sets(docs, width, id_col, text_col), "shingles")
+    classes = stored(found.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    posts = classes.select("s", "n", F.explode("keys").alias("key"))
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
+    # bands that more than one set has
+    w = Window.partitionBy("key")
+    posts = stored(posts.withColumn("met", F.count("*").over(w)).where("met > 1").drop("met"), "posts")
+    met = posts.select("s").distinct()
+    sets = stored(found.join(met.hint("merge"), "s").groupBy("s").agg(F.first("hashes").alias("hashes")), "sets")
+    ties, rooted = None, posts.withColumn("root", F.col("s"))
+    for order in (F.col("s"), F.xxhash64("key", "s")):
+        hub = F.min_by(F.struct("s", "n", "root"), order).over(w)
+        spokes = rooted.withColumn("hub", hub).where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n")))
+        pairs = stored(spokes.select(F.col("hub.s").alias("a"), F.col("s").alias("b")).distinct(), "pairs")
+        new = verified(pairs, sets, similarity)
+        ties = stored(new if ties is None else new.union(ties), "ties")
+        chained = stored(components(ties).select(F.col("node").alias("s"), "component"), "chained")
+        open_ = posts.join(chained, "s", "left").withColumn("root", F.coalesce("component", "s")).drop("component")
+        several = (F.min("root").over(w) != F.max("root").over(w))
+        rooted = stored(open_.withColumn("several", several).where("several").drop("several"), "open")
+    l, r = (rooted.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("s", "n", "root")]) for k in "12")
+    near = (F.col("s1") < F.col("s2")) & (F.col("root1") != F.col("root2")) & fits(F.col("n1"), F.col("n2"))
+    pairs = stored(l.join(r.hint("merge"), "key").where(near).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct(), "pairs")
+    tied = components(ties.union(verified(pairs, sets, similarity)))
+    whole = classes.select("s", "rep").join(tied.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    roots = whole.join(least, "component").select("s", "component_id")
+    return found.select("doc_id", "s").join(roots, "s").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -115,3 +115,39 @@ def test_wide_fingerprint_tells_similarity():
     a, b = (simhash.wide_fingerprint(" ".join(w).encode()) for w in (words, other))
     far = simhash.wide_fingerprint(" ".join(words[::-1]).encode())
     assert int(np.bitwise_count(a ^ b).sum()) < simhash.bits_at(0.6) < int(np.bitwise_count(a ^ far).sum())
+
+
+def jaccard(x, y, width=5):
+    a, b = ({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_pairs_of_0_8_and_more_meet(documents):
+    rng = random.Random(5)
+    rows, pairs = [], []
+    for g in range(400):
+        words = [f"g{g}w{k}" for k in range(rng.choice([40, 150, 400]))]
+        copy = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 50)):
+            copy[at] = "changed"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(copy))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
+    assert sum(pairs) > 100
+    assert [got[2 * g + 1] == 2 * g for g in range(400)] == pairs  # all those of 0.8 or more, and no others
+
+
+def test_keys_meet_at_0_8():
+    rng = np.random.default_rng(2)
+    met = 0
+    for _ in range(2000):
+        h = rng.integers(0, 1 << 64, 220, dtype=np.uint64)
+        met += bool((simhash.band_keys(h[:198]) == simhash.band_keys(h[22:])).any())  # 176 of 220 shared
+    assert met >= 1995
+
+
+def test_a_repeated_line_is_no_near_copy(documents):
+    line = " ".join(f"line{k}" for k in range(12))
+    rows = [(k, " ".join([line] * times + [f"t{times}d{k}w{i}" for i in range(150)])) for k, times in enumerate([20, 20, 10, 10])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}
