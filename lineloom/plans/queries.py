@@ -13,6 +13,8 @@ from lineloom.sources.traces import event_traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ENDS = graph.ENDS
+#: Window radii of the selectors that grow; the selectors' own greatest radius is 3.
+RADII = (1, 2, 3)
 
 
 def _trace(spark, d):
@@ -257,9 +259,9 @@ QUERIES: dict[str, Query] = {
     "description_length": description_length,
     "reconstruct": reconstruct,
     "greedy_cover": _selected(lambda t: selection.greedy_cover(t)),
-    "mdl_select": _selected(lambda t: selection.mdl_select(t, max_radius=2), (1, 2)),
-    "multiplicity_select": _selected(lambda t: selection.budgeted_select(t, max_radius=2), (1, 2)),
-    "eulerian_select": _selected(lambda t: selection.budgeted_select(t, max_radius=2, parity=True), (1, 2)),
+    "mdl_select": _selected(lambda t: selection.mdl_select(t), RADII),
+    "multiplicity_select": _selected(lambda t: selection.budgeted_select(t), RADII),
+    "eulerian_select": _selected(lambda t: selection.budgeted_select(t, parity=True), RADII),
     "novel_place": novel_place,
     "euler_trail": lambda s, d: generate.euler_trails(_node(s, d), _edge(s, d)),
     "diagnose": lambda s, d: generate.diagnoses(_node(s, d), _edge(s, d)),
