@@ -198,7 +198,7 @@ def novel_place(spark, d):
     """Each pattern's own chosen motifs on its own dots, as if these were a new layout."""
 
     def select(task):
-        chosen, _ = selection.greedy_cover(task, max_motifs=4)
+        chosen, *_ = selection.budgeted_select(task, radius=1, max_radius=1, parity=True)
         inside = {p for p, _, _ in task.seen.get(1, ())}
         out: dict[tuple[str, str], selection.Choice] = {}
         for p, c, t in selection.novel_place([c.canon for c in chosen], task.dots, inside):

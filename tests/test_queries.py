@@ -27,3 +27,34 @@ def test_growing_selectors_get_windows_of_all_radii(monkeypatch):
         assert radii == (1, 2, 3)
         chosen, left, *_ = select(task)
         assert [c.radius for c in chosen] == [3] and not left
+
+
+def test_novel_place_tries_the_whole_library(monkeypatch):
+    tried = []
+    monkeypatch.setattr(selection, "novel_place", lambda library, dots, inside: tried.append(list(library)) or [])
+    dots = {(x, y) for x in range(40) for y in range(3)}
+    # six closed motifs that differ, each at its own place: as many strands both ways as keep every vertex even
+    seen, strands = [], selection.Counter()
+    for k in range(6):
+        x = 3 + 6 * k
+        motif = ["-1,0>0,0"] * 2 * (k + 1)
+        seen.append(((x, 1), ";".join(motif), sorted(selection.D4)[0]))
+    monkeypatch.setattr(selection, "oriented", lambda text, transform: selection.parse(text))
+    for (x, _), text, _ in seen:
+        for ax, ay, bx, by in selection.parse(text):
+            strands[x + ax, 1 + ay, x + bx, 1 + by] += 1
+    # every motif comes twice, so that its placements pay for its rule
+    seen += [((x, 2), text, t) for (x, _), text, t in seen]
+    for (x, y), text, _ in seen[6:]:
+        for ax, ay, bx, by in selection.parse(text):
+            strands[x + ax, y + ay, x + bx, y + by] += 1
+    task = selection.Task(dots, strands, {1: seen})
+    wanted = [c.canon for c in selection.budgeted_select(task, radius=1, max_radius=1, parity=True)[0]]
+    out = []
+    monkeypatch.setattr(queries, "_selected", lambda select: lambda s, d: out.append(select) or queries._parts)
+    try:
+        queries.novel_place(None, "")
+    except AttributeError:  # the selector is all that is asked for
+        pass
+    out[0](task)
+    assert len(wanted) == 6 and tried == [wanted]
