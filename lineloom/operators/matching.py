@@ -95,14 +95,21 @@ def remap_edges(edge: DataFrame, identity: DataFrame, image: Sequence[str] = IMA
 
 
 def neighbour_distances(points: DataFrame, reach: float, image: Sequence[str] = IMAGE) -> DataFrame:
-    """image, idx, dist: distance to the nearest other point; null where none is within ``reach``."""
+    """image, idx, dist: distance to the nearest other point, at any distance; null for a point that is alone in its image.
+
+    Points with a neighbour within ``reach`` find it in buckets; only those left without are compared with all points of their image.
+    """
     near = close_pairs(points, points, reach, image, strict=False).where("idx <> other")
     best = near.groupBy(*image, "idx").agg(F.min("dist").alias("dist"))
-    return points.select(*image, "idx").join(best, [*image, "idx"], "left")
+    lone = points.join(best, [*image, "idx"], "left_anti").select(*image, "idx", "x", "y")
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    others = points.select(*image, F.col("idx").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    far = lone.join(others, list(image)).where("idx <> other").groupBy(*image, "idx").agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("dist"))
+    return points.select(*image, "idx").join(best.unionByName(far), [*image, "idx"], "left")
 
 
 def dot_radius(points: DataFrame, reach: float, image: Sequence[str] = IMAGE) -> DataFrame:
-    """Per image: median spacing and radius, 0.3 of it; below two points, or none in reach, the radius is 5."""
+    """Per image: median spacing and radius, 0.3 of it; below two points the radius is 5. ``reach`` only sets the size of the buckets."""
     d = neighbour_distances(points, reach, image)
     out = d.groupBy(*image).agg(F.count("*").alias("n_points"), F.percentile("dist", F.lit(0.5)).alias("spacing"))
     return out.withColumn("radius", F.coalesce(F.when(F.col("n_points") >= 2, F.col("spacing") * 0.3), F.lit(5.0)))

@@ -1,4 +1,4 @@
-from lineloom.operators import selection
+from lineloom.operators import matching, selection
 from lineloom.plans import queries
 
 
@@ -58,3 +58,10 @@ def test_novel_place_tries_the_whole_library(monkeypatch):
         pass
     out[0](task)
     assert len(wanted) == 6 and tried == [wanted]
+
+
+def test_spacing_counts_neighbours_at_any_distance(spark):
+    rows = [(1, 1, 0.0, 0.0), (1, 2, 10.0, 0.0), (1, 3, 400.0, 0.0), (2, 1, 0.0, 0.0), (2, 2, 300.0, 400.0), (3, 1, 5.0, 5.0)]
+    points = spark.createDataFrame(rows, "image_id int, idx bigint, x double, y double")
+    assert {(r.image_id, r.idx): r.dist for r in matching.neighbour_distances(points, 100.0).collect()} == {(1, 1): 10.0, (1, 2): 10.0, (1, 3): 390.0, (2, 1): 500.0, (2, 2): 500.0, (3, 1): None}
+    assert {r.image_id: r.spacing for r in matching.dot_radius(points, 100.0).collect()} == {1: 10.0, 2: 500.0, 3: None}
