@@ -174,7 +174,8 @@ def dotted_classifier(spark, d):
 
 
 def _heat(spark, d):
-    return heatmap.gaussian(_points(spark, d, "det"), 64, 900.0, sigma=0.6, reach=1)
+    # a cell out of reach is over 4 cells away: exp(-16 / 0.72) < 3e-10, below the rounding
+    return heatmap.gaussian(_points(spark, d, "det"), 64, 900.0, sigma=0.6, reach=4)
 
 
 def gaussian_heatmap(spark, d):

@@ -1,3 +1,5 @@
+import math
+
 from lineloom.operators import matching, selection
 from lineloom.plans import queries
 
@@ -65,3 +67,11 @@ def test_spacing_counts_neighbours_at_any_distance(spark):
     points = spark.createDataFrame(rows, "image_id int, idx bigint, x double, y double")
     assert {(r.image_id, r.idx): r.dist for r in matching.neighbour_distances(points, 100.0).collect()} == {(1, 1): 10.0, (1, 2): 10.0, (1, 3): 390.0, (2, 1): 500.0, (2, 2): 500.0, (3, 1): None}
     assert {r.image_id: r.spacing for r in matching.dot_radius(points, 100.0).collect()} == {1: 10.0, 2: 500.0, 3: None}
+
+
+def test_heat_reaches_all_that_rounding_keeps(spark, monkeypatch):
+    points = spark.createDataFrame([(1, 1, 450.0, 457.0)], "image_id int, idx bigint, x double, y double")
+    monkeypatch.setattr(queries, "_points", lambda s, d, side: points)
+    got = {(r.row, r.col): r.v for r in queries.gaussian_heatmap(spark, "").collect()}
+    v = {(r, c): round(math.exp(-((32.0 - c) ** 2 + (457 / 900 * 64 - r) ** 2) / 0.72), 6) for r in range(64) for c in range(64)}
+    assert all(abs(got.get(at, 0.0) - x) < 2e-6 for at, x in v.items())
