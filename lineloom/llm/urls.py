@@ -50,25 +50,38 @@ def host_links(pages: DataFrame) -> DataFrame:
     return to.where(F.instr("url", "://") > 0).select("src", host_and_path(F.col("url"))[0].alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
+#: Ranks have settled when a few rounds change their sum by less than this in all and reach no further host.
+TOLERANCE = 1e-6
+
+
+def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, cut_every: int = 4) -> DataFrame:
     """(host, rank): PageRank that restarts in ``seeds`` (host, share; shares sum to 1), over distinct ``links`` (src, dst).
 
     Each round joins the ranks to the links by source and sums by target, with sums before the shuffle. Every few
-    rounds a reliable checkpoint ends the plan. Rank that reaches a host without links ends there.
+    rounds a reliable checkpoint ends the plan. Without ``rounds`` it goes on until the ranks have settled and every host that
+    links lead to is reached. Rank that reaches a host without links ends there.
     """
     out = links.groupBy("src").agg(F.count("*").alias("n"))
     arcs = cut(links.join(out, "src").select("src", "dst", (F.lit(damping) / F.col("n")).alias("pass")))
     base = seeds.select("host", ((1 - damping) * F.col("share")).alias("rank"))
-    rank = base
-    for k in range(rounds):
+    rank = last = base
+    k = 0
+    while rounds is None or k < rounds:
         got = rank.join(arcs, rank.host == arcs.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("pass")).alias("rank"))
         rank = got.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % cut_every == cut_every - 1:
+        k += 1
+        if k % cut_every == 0:
             rank = cut(rank)
+            if rounds is None:
+                both = rank.select("host", F.col("rank").alias("now")).join(last.select("host", F.col("rank").alias("was")), "host", "full_outer")
+                change, reached = both.agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))), F.count_if(F.col("was").isNull())).first()
+                if (change or 0.0) < TOLERANCE and not reached:
+                    break
+                last = rank
     return rank
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 1.0, damping: float = 0.85, rounds: int = 12, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 1.0, damping: float = 0.85, rounds: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict (allow or block), trust, distrust (of its host).
 
     A rule decides where one fits. Any other page is blocked when its host's distrust is over ``threshold`` times its trust.

@@ -141,3 +141,9 @@ def test_mixing_matches_sql(spark, documents, tmp_path):
     assert got == want
 
 
+
+
+def test_ranks_reach_hosts_many_links_away(spark):
+    arcs = [(f"h{k}", f"h{k + 1}") for k in range(14)]
+    got = {r.host: r["rank"] for r in urls.personalised_rank(spark.createDataFrame(arcs, "src string, dst string"), spark.createDataFrame([("h0", 1.0)], "host string, share double")).collect()}
+    assert all(abs(got[f"h{k}"] - 0.15 * 0.85**k) < 1e-6 for k in range(15))
