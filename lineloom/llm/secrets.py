@@ -3,17 +3,20 @@
 Grammar inference works on labelled credentials: the values that the fixed formats found, a bounded sample by hash
 order. Their strings of character classes make a prefix tree, whose statistically compatible states are merged
 (ALERGIA: Hoeffding bounds on end and transition frequencies) into a probabilistic automaton. A second automaton
-is learned in the same way from candidate strings that no format matched. Every candidate of every text is scored by the difference of the
-two log likelihoods per character, and those above a threshold calibrated on credentials held back from the fit become spans of kind ``format``.
+is learned in the same way from ordinary strings: long words and numbers, which mix no letters with digits. Neither is learned from
+the candidates. Every candidate of every text, those of the fixed formats included, is scored by the difference of the
+two log likelihoods per character. The threshold is what most of the credentials held back from the fit reach and hardly any ordinary string held back
+does; other candidates from it on become spans of kind ``format``, and spans of the fixed formats below it are counted as unlikely.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm.common import per_batch, stored
@@ -25,6 +28,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: High-recall candidates: long runs of key characters with a digit; see ``candidates``.
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Ordinary strings: words, also joined ones, and numbers.
+_ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]+(?:[/_-][A-Za-z]+)*|[0-9]+)(?![A-Za-z0-9+/_=-])")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 Span = tuple[int, int, int, int, int]  # start, end, kind, start and end of the value
@@ -53,6 +58,20 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
+def ordinary(text: str, base: list[Span], least: int = 8, most: int = 4) -> list[str]:
+    """Of a text's words, and of its numbers, the ``most`` lowest by hash that have ``least`` characters or more and that no base span touches."""
+    found, at = {True: {}, False: {}}, 0
+    ends = sorted((s[0], s[1]) for s in base)
+    for m in _ORDINARY.finditer(text):
+        if m.end() - m.start() < least:
+            continue
+        while at < len(ends) and ends[at][1] <= m.start():
+            at += 1
+        if not (at < len(ends) and ends[at][0] < m.end()):
+            found[m[0][0].isdigit()][m[0]] = zlib.crc32(m[0].encode())
+    return [v for kind in (False, True) for v in sorted(found[kind], key=lambda v, of=found[kind]: (of[v], v))[:most]]
+
+
 _CLASS = {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "H" for c in "ABCDEF"}, **{c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"}}
 
 
@@ -64,11 +83,11 @@ def shape(value: str) -> str:
 class Automaton:
     """A deterministic probabilistic automaton inferred from strings by merging compatible prefix-tree states."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05, max_length: int = 128) -> None:
+    def __init__(self, strings: list[str], alpha: float = 0.05) -> None:
         self.ended, self.next, self.flow = [0], [{}], [{}]  # per state: strings that end there; target and count by character
         for s in sorted(strings):
             at = 0
-            for c in s[:max_length]:
+            for c in s:
                 if c not in self.next[at]:
                     self.next[at][c], self.flow[at][c] = len(self.ended), 0
                     self.ended.append(0)
@@ -149,59 +168,84 @@ def score(good: Automaton, other: Automaton, value: str) -> float:
     return (good.log_likelihood(s) - other.log_likelihood(s)) / (len(s) + 1)
 
 
-def learn(credentials: list[str], others: list[str], kept_recall: float = 0.95) -> tuple[Automaton, Automaton, float]:
-    """Both automata, and the score that ``kept_recall`` of the credentials held back from the fit reach (0 at least)."""
-    held, fit = credentials[::4], [c for i, c in enumerate(credentials) if i % 4] or credentials
-    good, other = Automaton([shape(c) for c in fit]), Automaton([shape(c) for c in others])
+def learn(credentials: list[str], others: list[str], kept_recall: float = 0.95, false_rate: float = 0.01) -> tuple[Automaton, Automaton, float]:
+    """Both automata and the threshold, from the quarter of either kind that is held back from the fit.
+
+    It is the score that ``kept_recall`` of the credentials reach, or if more that which at most ``false_rate`` of the ordinary strings reach, or 0.
+    """
+    part = lambda x: (x[::4], [v for i, v in enumerate(x) if i % 4] or x)
+    (held, fit), (held_others, fit_others) = part(credentials), part(others)
+    good, other = Automaton([shape(c) for c in fit]), Automaton([shape(c) for c in fit_others])
     scores = sorted(score(good, other, c) for c in held)
-    return good, other, max(0.0, scores[int((1 - kept_recall) * len(scores))]) if scores else math.inf
+    if not scores:
+        return good, other, math.inf
+    false = sorted(score(good, other, c) for c in held_others)
+    above = math.nextafter(false[-1 - int(false_rate * len(false))], math.inf) if false else 0.0
+    return good, other, max(0.0, above, scores[int((1 - kept_recall) * len(scores))])
 
 
-_FOUND = "doc_id bigint, base array<struct<s:int,e:int,k:int,v:string>>, more array<struct<s:int,e:int,k:int,v:string>>"
+_FOUND = "doc_id bigint, base array<struct<s:int,e:int,k:int,v:string>>, more array<struct<s:int,e:int,k:int,v:string>>, ordinary array<string>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, more): base spans and unmatched candidates of each text with their strings."""
+    """(doc_id, base, more, ordinary): base spans and unmatched candidates of each text with their strings, and some ordinary strings."""
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32()), ("v", pa.string())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, more = [], []
+        base, more, plain = [], [], []
         for t in batch.column(1):
             text = t.as_py() or ""
             spans = base_spans(text)
             base.append([{"s": s, "e": e, "k": k, "v": text[vs:ve]} for s, e, k, vs, ve in spans])
             more.append([{"s": s, "e": e, "k": 3, "v": text[s:e]} for s, e in candidates(text, spans)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(more, kind)], ["doc_id", "base", "more"])
+            plain.append(ordinary(text, spans))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(more, kind), pa.array(plain, pa.list_(pa.string()))], ["doc_id", "base", "more", "ordinary"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(per_batch(run), _FOUND)
 
 
-def _sample(found: DataFrame, column: str, rows: int) -> list[str]:
-    """The first ``rows`` distinct strings by hash: a bounded sample that is the same in each run."""
-    v = found.select(F.explode(column).alias("x")).select(F.col("x.v").alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(rows)
-    return [r.v for r in v.collect()]
+def _sample(values: DataFrame, rows: int, chars: int) -> list[str]:
+    """Distinct strings ``v``, the first by hash: at most ``rows`` of them and ``chars`` characters in all. The same in each run."""
+    first = values.distinct().where(F.length("v") <= chars).orderBy(F.xxhash64("v"), "v").limit(rows)
+    size = F.sum(F.length("v")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("v"), "v"))  # of at most ``rows`` rows
+    return [r.v for r in first.withColumn("_size", size).where(F.col("_size") <= chars).orderBy(F.xxhash64("v"), "v").collect()]
+
 
+def train(found: DataFrame, sample_rows: int = 600, sample_chars: int = 200_000) -> tuple[Automaton, Automaton, float] | None:
+    """The automata and their threshold from a scan; None without credentials. See ``find``."""
+    credentials = _sample(found.select(F.explode("base").alias("x")).select(F.col("x.v").alias("v")), sample_rows, sample_chars)
+    if not credentials:
+        return None
+    plain = found.select(F.explode("ordinary").alias("v"))
+    others = [v for digits in (False, True) for v in _sample(plain.where(F.col("v").rlike("^[0-9]") == digits), sample_rows, sample_chars)]
+    return learn(credentials, sorted(others, key=lambda v: zlib.crc32(v.encode())))
 
-def find(docs: DataFrame, sample_rows: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, base and more (arrays of spans with start, end, kind and string).
 
-    ``base`` has the fixed formats, ``more`` the candidates that the automata accept. Null texts count as empty and
+def find(docs: DataFrame, sample_rows: int = 600, sample_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, base and more (arrays of spans with start, end, kind and string), n_unlikely.
+
+    ``base`` has the fixed formats, ``more`` the candidates that the automata accept, ``n_unlikely`` counts base spans that score below the threshold. Null texts count as empty and
     have no spans; ids may be null or repeat, each row is judged on its own; an empty table gives an empty result.
-    ``sample_rows`` bounds the labelled credentials, and likewise the other strings, that the automata are fitted on.
+    ``sample_rows`` and ``sample_chars`` bound the labelled credentials, and likewise the words and the numbers, that the automata are fitted on.
     Without any credential in the table nothing is added.
     """
     found = stored(scan(docs, id_col, text_col), "secrets")
-    credentials, others = _sample(found, "base", sample_rows), _sample(found, "more", sample_rows)
-    if not credentials:
-        return found.select("doc_id", "base", F.filter("more", lambda x: F.lit(False)).alias("more"))
-    good, other, least = learn(credentials, others)
+    model = train(found, sample_rows, sample_chars)
+    found = found.drop("ordinary")
+    if model is None:
+        return found.select("doc_id", "base", F.filter("more", lambda x: F.lit(False)).alias("more"), F.lit(0).cast("bigint").alias("n_unlikely"))
+    sent = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        more = [[x for x in row.as_py() or () if score(good, other, x["v"]) >= least] for row in batch.column(2)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, batch.schema.field(2).type)], ["doc_id", "base", "more"])
+        good, other, least = sent.value
+        likely = lambda x: score(good, other, x["v"]) >= least
+        more = [[x for x in row.as_py() or () if likely(x)] for row in batch.column(2)]
+        unlikely = [sum(not likely(x) for x in row.as_py() or ()) for row in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, batch.schema.field(2).type), pa.array(unlikely, pa.int64())], ["doc_id", "base", "more", "n_unlikely"])
 
-    plain = found.where(F.size("more") == 0)
-    return plain.unionByName(found.where(F.size("more") > 0).mapInArrow(per_batch(run), _FOUND))
+    some = (F.size("base") > 0) | (F.size("more") > 0)
+    scored = found.where(some).mapInArrow(per_batch(run), _FOUND.replace("ordinary array<string>", "n_unlikely bigint"))
+    return found.where(~some).withColumn("n_unlikely", F.lit(0).cast("bigint")).unionByName(scored)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -216,6 +260,7 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(said(F.col("base")), 256).alias("base_sha256"),
         said(F.array_sort(F.concat("base", "more"), order)).alias("spans"),
         F.size("more").cast("bigint").alias("n_format"),
+        "n_unlikely",
     )
 
 

@@ -1,25 +1,27 @@
-"""Near-duplicate documents by SimHash, linked through deletion-variant signatures.
+"""Near-duplicate documents by SimHash, linked through deletion-variant signatures; and groups of like shingle sets.
 
 A pair of 64-bit fingerprints that differs in at most ``distance`` bits is found through segments: cut into
 ``distance // 2 + 1`` segments, at least one segment of such a pair differs in at most one bit. Every segment is indexed
 under each of its one-wildcard variants (the segment with one bit masked out), so the pair meets in an equality
 join, and the whole fingerprints are then compared.
 
-Only distinct fingerprints take part, so exact copies (and all texts of equal shingles) never meet as pairs. A
-link between two different fingerprints comes out once: under the first variant by which they meet.
+Only distinct fingerprints take part, so exact copies (and all texts of equal shingles) never meet as pairs. Families of near copies are
+contracted before pairs are made: under each variant all fingerprints are compared with the one of the least document, and after that
+only fingerprints meet that are not yet in one component.
+
+``similar_groups`` serves the pipeline, whose near copies are texts of a Jaccard similarity of 0.8 or more on sets of five words. At
+that limit a SimHash pair differs in 15 % of its bits, which no few segments with one wildcard catch, so its candidates come from MinHash bands; see the README.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import components, cut, per_batch, stored
+from lineloom.llm.common import components, per_batch, stored
 
 BITS = 64
 #: Hashes are taken and counted in blocks of so many shingles, which bounds memory on very long texts.
@@ -71,65 +73,67 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def _halves(words: list[Column], parts: list[tuple[int, int, int]]) -> Column:
-    """array<struct<half, value>>: both halves of each segment. A variant keeps one of them whole, so halves say where variants go."""
+def _variants(fp: Column, parts: list[tuple[int, int]]) -> Column:
+    """array<bigint>: each segment with each of its bits masked out, over the number of the masked bit."""
     out = []
-    for k, (word, lo, width) in enumerate(parts):
-        low = width // 2
-        for h, (at, n) in enumerate(((lo, low), (lo + low, width - low))):
-            out.append(F.struct(F.lit(2 * k + h).alias("half"), F.shiftrightunsigned(words[word], at).bitwiseAND(F.lit((1 << n) - 1)).alias("value")))
+    for lo, width in parts:
+        part = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << min(width, 63)) - 1)) if width < BITS else fp
+        for bit in range(width):
+            gap = ~(1 << bit) if bit < 63 else (1 << 63) - 1
+            out.append(F.shiftleft(part.bitwiseAND(F.lit(gap)), 8).bitwiseOR(F.lit(lo + bit)))
     return F.array(*out)
 
 
-def _variants(words: list[Column], parts: list[tuple[int, int, int]], half: Column) -> Column:
-    """array<bigint>: the segment that ``half`` belongs to with each bit of its other half masked out, over the number of the masked bit."""
-    out = F.lit(None).cast("array<bigint>")
-    for k, (word, lo, width) in enumerate(parts):
-        part = F.shiftrightunsigned(words[word], lo).bitwiseAND(F.lit((1 << width) - 1))
-        low = width // 2
-        for h, bits in enumerate((range(low, width), range(low))):
-            masked = F.array(*[F.shiftleft(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit))), 8).bitwiseOR(F.lit(word * BITS + lo + bit)) for bit in bits])
-            out = F.when(half == 2 * k + h, masked).otherwise(out)
-    return out
-
-
-def _met_first(xs: list[Column], parts: list[tuple[int, int, int]], key: Column) -> Column:
-    """Whether ``key`` is the first variant under which a pair with the differing bits ``xs`` meets."""
+def _met_first(x: Column, parts: list[tuple[int, int]], key: Column) -> Column:
+    """Whether ``key`` is the first variant under which a pair with the differing bits ``x`` meets."""
     first = F.lit(None).cast("bigint")
-    for word, lo, width in reversed(parts):
-        diff = F.shiftrightunsigned(xs[word], lo).bitwiseAND(F.lit((1 << width) - 1))
-        at = F.when(diff == 0, F.lit(word * BITS + lo)).otherwise(F.lit(word * BITS + lo) + F.bit_count(diff - 1))  # diff has one bit, so this counts the zeros below it
+    for lo, width in reversed(parts):
+        diff = F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << min(width, 63)) - 1)) if width < BITS else x
+        at = F.when(diff == 0, F.lit(lo)).when(diff < 0, F.lit(lo + BITS - 1)).otherwise(F.lit(lo) + F.bit_count(diff - 1))  # diff has one bit, so this counts the zeros below it
         first = F.when(F.bit_count(diff) <= 1, at.cast("bigint")).otherwise(first)
     return key.bitwiseAND(F.lit(255)) == first
 
 
-def links(classes: DataFrame, distance: int = 4, words: tuple[str, ...] = ("fp",), parts: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """(a, b, bits): representatives of distinct fingerprints that differ in 1 to ``distance`` bits, each pair once.
+def index(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """``classes`` with a row per variant of ``fp`` and its ``key``."""
+    return classes.withColumn("key", F.explode(_variants(F.col("fp"), segments(distance))))
 
-    ``classes`` has rep and the bigint ``words`` of a fingerprint, not null, one row per fingerprint, and optionally root: pairs of one root are left out. An
-    equality join on the variant's key finds the candidates; the comparison of whole fingerprints is part of the join, so
-    only links leave it.
+
+def pairs(indexed: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b, bits): rows of an index whose fingerprints differ in 1 to ``distance`` bits, each pair once, by their ``rep``.
+
+    Pairs of one ``root`` are left out where the index has that column. The comparison of whole fingerprints is part of the join, so only links leave it.
     """
-    parts = [(0, lo, width) for lo, width in segments(distance)] if parts is None else parts
-    keep = [*words, "rep", *(["root"] if "root" in classes.columns else [])]
-    # a row per half of a segment is shuffled; the variants that keep this half are made behind the shuffle and join in place
-    dealt = classes.select(*keep, F.explode(_halves([F.col(w) for w in words], parts)).alias("h")).select(*keep, "h.half", "h.value").repartition("half", "value")
-    side = dealt.withColumn("key", F.explode(_variants([F.col(w) for w in words], parts, F.col("half"))))
-    l, r = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns]) for k in "12")
-    xs = [F.col(f"{w}_1").bitwiseXOR(F.col(f"{w}_2")) for w in words]
-    bits = sum((F.bit_count(x) for x in xs[1:]), F.bit_count(xs[0]))
-    near = (F.col("rep_1") < F.col("rep_2")) & (bits <= distance) & _met_first(xs, parts, F.col("key_1"))
-    if "root" in keep:
+    l, r = (indexed.select(*[F.col(c).alias(f"{c}_{k}") for c in indexed.columns]) for k in "12")
+    x = F.col("fp_1").bitwiseXOR(F.col("fp_2"))
+    near = (F.col("rep_1") < F.col("rep_2")) & (F.bit_count(x) <= distance) & _met_first(x, segments(distance), F.col("key_1"))
+    if "root" in indexed.columns:
         near = near & (F.col("root_1") != F.col("root_2"))
-    same = (F.col("half_1") == F.col("half_2")) & (F.col("value_1") == F.col("value_2")) & (F.col("key_1") == F.col("key_2"))
-    found = l.join(r, same & near).select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b"), bits.alias("bits"))
-    conf, name = classes.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    before = conf.get(name)
-    conf.set(name, "false")  # the halves alone place equal keys together
-    try:
-        return stored(found, "links")
-    finally:
-        conf.set(name, before)
+    return l.join(r, (F.col("key_1") == F.col("key_2")) & near).select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b"), F.bit_count(x).alias("bits"))
+
+
+def links(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b, bits): representatives of distinct fingerprints that differ in 1 to ``distance`` bits, each pair once.
+
+    ``classes`` has rep and fp (bigint), not null, one row per fingerprint.
+    """
+    return pairs(index(classes.select("rep", "fp"), distance), distance)
+
+
+def ties(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b): pairs of representatives that have the components of all links, without all the links of a family.
+
+    A key's rows are never brought to one task: its least row comes from an aggregation, and joins split hot keys.
+    """
+    rows = index(classes.select("rep", "fp"), distance)
+    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), F.min_by("fp", "rep").alias("hub_fp")).where("n > 1").drop("n")
+    met = stored(rows.join(hubs, "key"), "met")
+    spokes = met.where((F.col("rep") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= distance))
+    roots = stored(components(spokes.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "roots")
+    rooted = stored(met.select("key", "rep", "fp").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "fp", F.coalesce("component", "rep").alias("root")), "rooted")
+    several = stored(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "several")
+    last = pairs(stored(rooted.join(several, "key"), "open"), distance)
+    return roots.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(last.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,50 +145,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: in
     table gives an empty result; columns other than the id and the text are not read.
     """
     prints = stored(fingerprints(docs, width, seed, id_col, text_col), "prints")
-    classes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    classes = stored(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
     same_id = prints.join(twice, "doc_id").join(classes, "fp").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    near = links(cut(classes), distance).where("a <> b").select("a", "b")
-    found = components(near.union(same_id))
-    roots = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # one fingerprint per representative: of a document with several texts the least stands for the others, which same_id ties to it
+    near = ties(classes, distance).where("a <> b")
+    found = stored(components(near.union(same_id)), "components")
+    roots = stored(classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fps")
     known = prints.where("doc_id is not null").join(roots, "fp", "left").select("doc_id", "fp", "component_id")
     return known.union(prints.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("bigint")))
 
 
-def wide_fingerprint(text: bytes | None, width: int = 5) -> np.ndarray:
-    """256-bit SimHash of word shingles as four words; zeros without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(4, np.uint64)
-    digest, joined = xxhash.xxh3_128_digest, b" ".join(words)
-    if len(words) <= width:
-        starts, ends = [0], [len(joined)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1)
-        starts = (ends - sizes - 1)[: len(words) - width + 1].tolist()
-        ends = (ends[width - 1 :] - 1).tolist()
-    n, ones = len(starts), np.zeros(4 * BITS, np.int64)
-    for at in range(0, n, BLOCK):
-        h = np.frombuffer(b"".join([digest(joined[s:e]) for s, e in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)]), ">u8").astype(np.uint64).reshape(-1, 2)
-        more = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        more ^= more >> np.uint64(28)
-        for k, column in enumerate((h[:, 0], h[:, 1], more[:, 0], more[:, 1])):
-            ones[k * BITS : (k + 1) * BITS] += _ones(column.astype(">u8").tobytes())
-    return np.packbits(ones * 2 > n, bitorder="little").view("<u8")
-
-
-def bits_at(similarity: float, bits: int = 4 * BITS) -> int:
-    """Differing bits expected of two texts whose shingle sets have the given Jaccard similarity, plus one standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
-
-
 #: A shingle set's MinHash index: so many bands of so many values. Two sets of Jaccard J miss each other with (1 - J**ROWS)**BANDS: 0.0002 at 0.8.
 ROWS, BANDS = 7, 36
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
-#: Pairs per copy of a set that many pairs share, so that one set's pairs are dealt to many tasks.
-SHARE = 256
 
 
 def shingle_set(text: bytes | None, width: int = 5) -> np.ndarray:
@@ -217,78 +191,134 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s, n, keys, hashes): each row's shingle set, its size and band keys; ``s`` is a hash of the whole set, so equal sets have one."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+
+
+def _set_hash(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def signatures(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, s, n, keys): size and band keys of each row's shingle set; ``s`` is a hash of the whole set, so equal sets have one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t.as_py(), width) for t in batch.column(1).cast(pa.large_binary())]
-        s = np.fromiter((xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets), np.uint64, len(sets)).view(np.int64)
-        n = pa.array([len(h) for h in sets], pa.int32())
         keys = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), n, keys, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["doc_id", "s", "n", "keys", "hashes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_set_hash, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), keys], ["doc_id", "s", "n", "keys"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id bigint, s bigint, n int, keys array<bigint>")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(s, hashes) of the ``wanted`` sets (rep, s), made again from the texts of their representatives."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t.as_py(), width) for t in batch.column(0).cast(pa.large_binary())]
+        mine = [i for i, (h, s) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if _set_hash(h) == s]  # an id may repeat with another text
+        return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(mine, pa.int64())), pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], ["s", "hashes"])
+
+    of = _texts(docs, id_col, text_col).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "s")
+    return of.mapInArrow(per_batch(run), "s bigint, hashes array<bigint>").groupBy("s").agg(F.first("hashes").alias("hashes"))
+
+
+def like_sets(sets: list[np.ndarray], roots: list, sides: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) that tie sets of a Jaccard similarity of ``similarity`` or more: enough of them to span the components of all.
+
+    Sets that already have one root are not compared, nor are two sets of side 1. Sets are bit masks over the shingles
+    at hand, so a comparison is one AND of whole numbers.
+    """
+    flat, at = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True)
+    masks, start = [], 0
+    for x in sets:
+        bits = np.zeros(len(flat) + 1, np.uint8)
+        bits[at[start : start + len(x)]] = 1
+        start += len(x)
+        masks.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"))
+    up: dict = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    order = sorted(range(len(sets)), key=lambda i: (-len(sets[i]), i))
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            a, b = len(sets[i]), len(sets[j])
+            if b < similarity * a - 1e-9:
+                break
+            if sides[i] and sides[j]:
+                continue
+            x, y = top(roots[i]), top(roots[j])
+            # |x & y| / (|x| + |y| - |x & y|) >= similarity
+            if x != y and (masks[i] & masks[j]).bit_count() * (1 + similarity) >= similarity * (a + b) - 1e-9:
+                up[x] = y
+                out.append((i, j))
+    return out
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    return plain.mapInArrow(per_batch(run), "doc_id bigint, s bigint, n int, keys array<bigint>, hashes array<bigint>")
 
+def _ties_of(similarity: float):
+    def run(t: pa.Table) -> pa.Table:
+        s = t.column("s").to_pylist()
+        sets = [np.asarray(h.values if hasattr(h, "values") else h, np.int64) for h in t.column("hashes").combine_chunks()]
+        roots, sides = t.column("root").to_pylist(), t.column("side").to_pylist()
+        found = like_sets(sets, roots, sides, similarity)
+        return pa.table({"a": pa.array([s[i] for i, _ in found], pa.int64()), "b": pa.array([s[j] for _, j in found], pa.int64())})
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): those of the distinct ``pairs`` of sets whose Jaccard similarity, taken on the whole ``sets`` (s, hashes), is ``similarity`` or more."""
-    many = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select("a", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "many")
-    one = F.coalesce("shares", F.lit(1))
-    # at most one in SHARE of the pairs has a row in ``many``
-    dealt = pairs.join(F.broadcast(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).cast("int").alias("share"))
-    left = sets.withColumnRenamed("s", "a").join(F.broadcast(many), "a", "left").select("a", F.col("hashes").alias("ha"), F.explode(F.sequence(F.lit(0), one - 1)).alias("share"))
-    right = sets.select(F.col("s").alias("b"), F.col("hashes").alias("hb"))
-    both = dealt.join(left.hint("merge"), ["a", "share"]).join(right.hint("merge"), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    # |x & y| / (|x| + |y| - |x & y|) >= similarity
-    return both.where(shared * (1 + similarity) >= similarity * (F.size("ha") + F.size("hb")) - 1e-9).select("a", "b")
+    return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_rows: int = 1024, tile_shingles: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, linked in chains.
 
-    Candidates share a band of their MinHash signatures; every link is verified on the whole shingle sets. Documents of equal sets are one
-    node. Large groups are first contracted: members of a band are compared with its least member, then those not yet
-    tied to it with another. All pairs that are in no common group are compared after that, so a group never becomes all its pairs. Rows with a null id
-    are left out.
+    Candidates share a band of their MinHash signatures; every link is verified on the whole shingle sets. Documents of equal sets (all those without
+    words are such) are one node. The sets of a band are compared in tiles of bounded size: first within tiles, which ties most
+    of a large family together, then across tiles only those that are not in their band's largest component. Bands with the same sets are one. Rows with a null
+    id are left out; rows that repeat an id are one node; an empty table gives an empty result; other columns are not read.
     """
-    found = stored(shingle_sets(docs, width, id_col, text_col), "shingles")
+    found = stored(signatures(docs, width, id_col, text_col), "signatures")
     classes = stored(found.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
     posts = classes.select("s", "n", F.explode("keys").alias("key"))
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
-    # bands that more than one set has
-    w = Window.partitionBy("key")
-    posts = stored(posts.withColumn("met", F.count("*").over(w)).where("met > 1").drop("met"), "posts")
-    met = posts.select("s").distinct()
-    sets = stored(found.join(met.hint("merge"), "s").groupBy("s").agg(F.first("hashes").alias("hashes")), "sets")
-    ties, rooted = None, posts.withColumn("root", F.col("s"))
-    for order in (F.col("s"), F.xxhash64("key", "s")):
-        hub = F.min_by(F.struct("s", "n", "root"), order).over(w)
-        spokes = rooted.withColumn("hub", hub).where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n")))
-        pairs = stored(spokes.select(F.col("hub.s").alias("a"), F.col("s").alias("b")).distinct(), "pairs")
-        new = verified(pairs, sets, similarity)
-        ties = stored(new if ties is None else new.union(ties), "ties")
-        chained = stored(components(ties).select(F.col("node").alias("s"), "component"), "chained")
-        open_ = posts.join(chained, "s", "left").withColumn("root", F.coalesce("component", "s")).drop("component")
-        several = (F.min("root").over(w) != F.max("root").over(w))
-        rooted = stored(open_.withColumn("several", several).where("several").drop("several"), "open")
-    l, r = (rooted.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("s", "n", "root")]) for k in "12")
-    near = (F.col("s1") < F.col("s2")) & (F.col("root1") != F.col("root2")) & fits(F.col("n1"), F.col("n2"))
-    pairs = stored(l.join(r.hint("merge"), "key").where(near).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct(), "pairs")
-    tied = components(ties.union(verified(pairs, sets, similarity)))
-    whole = classes.select("s", "rep").join(tied.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    bands = posts.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y")).where("m > 1")
+    tiles = F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("size") / tile_shingles)).cast("int")
+    lists = stored(bands.groupBy("m", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "m", tiles.alias("tiles")), "bands")
+    met = stored(posts.join(lists, "key").select("key", "m", "tiles", "s"), "met")
+    sets = stored(whole_sets(docs, met.select("s").distinct().join(classes, "s").select("rep", "s"), width, id_col, text_col), "sets")
+    schema = "a bigint, b bigint"
+    part = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
+    inside = met.select("key", "s", part.alias("tile"), F.col("s").alias("root"), F.lit(0).alias("side")).join(sets, "s")
+    ties_ = stored(inside.groupBy("key", "tile").applyInArrow(_ties_of(similarity), schema), "ties")
+    large = met.where("tiles > 1")
+    if not large.isEmpty():
+        chained = stored(components(ties_), "chained")
+        rooted = stored(large.join(chained, F.col("s") == F.col("node"), "left").select("key", "m", "tiles", "s", F.coalesce("component", "s").alias("root")), "rooted")
+        most = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("t"))
+        most = stored(most.select("key", F.col("t.root").alias("main"), F.col("t.n").alias("n_main")), "most")
+        all_ = stored(rooted.join(most, "key").withColumn("others", F.ceil((F.col("m") - F.col("n_main")) * F.col("tiles") / F.col("m")).cast("int")).where("others > 0"), "across")
+        lone = all_.where("root <> main").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "s"), F.col("others")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        any_ = all_.withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        both = lone.select("key", "i", "j", "s", "root", F.lit(0).alias("side")).union(any_.select("key", "i", "j", "s", "root", F.lit(1).alias("side"))).join(sets, "s")
+        across = both.groupBy("key", "i", "j").applyInArrow(_ties_of(similarity), schema)
+        ties_ = stored(ties_.union(across).where("a <> b"), "ties")
+    ids = found.groupBy("doc_id").agg(F.min("s").alias("a"), F.max("s").alias("top")).where("a <> top").select("doc_id", "a")
+    same_id = found.join(ids, "doc_id").where("s <> a").select("a", F.col("s").alias("b"))
+    tied = stored(components(ties_.union(same_id)), "tied")
+    whole = stored(classes.select("s", "rep").join(tied.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")), "whole")
     least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    roots = whole.join(least, "component").select("s", "component_id")
+    roots = stored(whole.join(least, "component").select("s", "component_id"), "sets_roots")
     return found.select("doc_id", "s").join(roots, "s").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies left: the one with the smallest doc_id. All columns are kept.
 
-    Rows with a null doc_id are in no group and stay. Of rows that repeat a kept doc_id, all stay.
+    Null and blank texts are one group. Rows with a null doc_id are in no group and stay. Of rows that repeat a kept doc_id, all stay. An
+    empty table gives an empty result.
     """
     found = stored(similar_groups(docs, width, similarity), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     # ids that go grow with the documents, so they are never broadcast, however few they are
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

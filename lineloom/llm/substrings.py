@@ -1,19 +1,21 @@
 """Removal of repeated substrings, exact on bytes, by maximal repeats of an enhanced suffix array.
 
-A full suffix array of a corpus has a row per byte. This one is sparse: of all the k-byte seeds in a window of ``length``
-bytes the least by hash is the window's anchor, so equal windows have their anchor at the same place, and a window can only repeat where
-its anchor's seed does. Consecutive windows of one anchor form a run, and only runs go through shuffles:
-
-1. runs whose seed occurs once are done: their windows are unique;
-2. runs equal to another run from end to end are done: all their windows repeat;
-3. what is left (the edges of repeats) is cut from the texts around the anchor. Pieces that share their middle form a group, whose
-   parts to the right are sorted (suffix array) with their common prefixes. A stack scan of the prefixes yields the interval tree: each
+A full suffix array of a corpus has a row per byte. This one is sparse: of all the k-byte seeds in a window of ``least`` bytes
+the lowest by hash is the window's anchor, so equal windows have their anchor at the same place, and any repeat of
+``least`` or more bytes holds an anchor that all its occurrences share. Around an anchor only its surroundings up to ``length`` bytes to
+either side matter. They go through these steps:
+
+1. anchors whose seed occurs once are done: no window with them repeats;
+2. anchors with equal surroundings in several texts are done: all of the surroundings repeats;
+3. what is left (the edges of repeats) is cut from the texts and grouped by seed. The parts to the right of
+   the seed are sorted (suffix array) with their common prefixes. A stack scan of the prefixes yields the interval tree: each
    interval is a repeat with all its occurrences. Within an interval the parts to the left are compared in
    their order: where they differ (the repeat is left-diverse) it is maximal and ends, where they agree it extends. Left plus right extent
-   tell which windows of an occurrence are found in any other one.
+   tell which bytes around an occurrence are found around any other one.
 
-Texts are known by two 64-bit hashes of their content, so copies of a text share their rows. Groups of more
-than ``group_rows`` pieces are compared window by window through a hash aggregation, which needs no group in one task.
+A group that is too large for one task is split as a suffix array's bucket is, by more of the shared text: its members meet by the
+part that windows of a narrower range of places share, until groups are small or share whole windows, whose
+bytes then repeat without a look at them. Texts are known by two 64-bit hashes of their content, so copies of a text share their rows.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text", F.length("text")))
 
 
-def anchors(keyed: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, a, s1, s2, core, class): the runs of every text with hashes of their seed and of all their bytes."""
+def anchors(keyed: DataFrame, length: int, least: int) -> DataFrame:
+    """(k1, k2, a, n_left, n_right, core, class): every text's anchors, how far their surroundings go, hashes of seed and surroundings."""
 
     def run(batches):
         for batch in batches:
@@ -90,17 +92,20 @@ def anchors(keyed: DataFrame, length: int) -> DataFrame:
             out = [[] for _ in range(7)]
             for row, t in enumerate(batch.column(0).cast(pa.large_binary())):
                 text = t.as_py()
-                if len(text) < length:
+                if len(text) < least:
                     continue
-                found = runs(text, length)
-                s1, s2, a, core = zip(*found, strict=True)
-                whole = [_signed(xxhash.xxh3_64_intdigest(text[x : y + length], z - x)) for x, y, z, _ in found]
-                for column, values in zip(out, ([k1[row]] * len(found), [k2[row]] * len(found), a, s1, s2, core, whole), strict=True):
+                found = {a: core for _, _, a, core in runs(text, least)}
+                left = [min(a, length) for a in found]
+                right = [min(len(text) - a, length) for a in found]
+                whole = [_signed(xxhash.xxh3_64_intdigest(text[a - x : a + y], x)) for a, x, y in zip(found, left, right, strict=True)]
+                for column, values in zip(out, ([k1[row]] * len(found), [k2[row]] * len(found), found, left, right, found.values(), whole), strict=True):
                     column.extend(values)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["k1", "k2", "a", "s1", "s2", "core", "class"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["k1", "k2", "a", "n_left", "n_right", "core", "class"])
 
-    return keyed.select("text", "k1", "k2").mapInArrow(run, "k1 bigint, k2 bigint, a int, s1 int, s2 int, core bigint, class bigint")
+    if length >= 1 << 15:
+        raise ValueError("length must be below 32768")
+    return keyed.select("text", "k1", "k2").mapInArrow(run, "k1 bigint, k2 bigint, a int, n_left smallint, n_right smallint, core bigint, class bigint")
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -126,176 +131,226 @@ def intervals(sorted_parts: list[bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeated(left: list[bytes], right: list[bytes], width: int) -> list[list[tuple[int, int]]]:
-    """For each occurrence the ranges of d for which d bytes to the left and width - d to the right recur in another one.
+def _elsewhere(extent: list[int], owner: list) -> list[int]:
+    """For each of a sorted row of parts, its longest common prefix with a part of another owner; ``extent`` is between neighbours."""
+    n = len(owner)
+    out, near = [0] * n, 0
+    for i in range(1, n):
+        near = extent[i - 1] if owner[i - 1] != owner[i] else min(extent[i - 1], near)
+        out[i] = near
+    near = 0
+    for i in range(n - 2, -1, -1):
+        near = extent[i] if owner[i + 1] != owner[i] else min(extent[i], near)
+        out[i] = max(out[i], near)
+    return out
+
+
+def repeated(left: list[bytes], right: list[bytes], width: int, owner: list | None = None) -> list[list[tuple[int, int, bool]]]:
+    """For each occurrence (l, r, other): l bytes to the left and r to the right, ``width`` or more together, recur around another occurrence.
 
-    ``left`` reads away from the shared middle, as ``right`` does.
+    ``left`` reads away from the shared middle, as ``right`` does. ``other`` says that the occurrence is another ``owner``'s; without
+    owners each occurrence is its own. What lies within a longer entry of the same kind is left out.
     """
-    out: list[list[tuple[int, int]]] = [[] for _ in left]
+    out: list[dict[tuple[int, int], bool]] = [{} for _ in left]
     order = sorted(range(len(right)), key=right.__getitem__)
     rank = {x: i for i, x in enumerate(sorted(range(len(left)), key=left.__getitem__))}
     longest = max(map(len, left), default=0)
+    of = list(range(len(left))) if owner is None else owner
     for depth, first, last in intervals([right[x] for x in order]):
         if last == first or depth + longest < width:
             continue
         members = sorted(order[first : last + 1], key=rank.__getitem__)
         extent = [_common(left[x], left[y]) for x, y in zip(members, members[1:], strict=False)]  # left extension, neighbour by neighbour
+        other = _elsewhere(extent, [of[x] for x in members])
+        some = len({of[x] for x in members}) > 1
         for i, x in enumerate(members):
             best = max(extent[i - 1] if i else 0, extent[i] if i < len(extent) else 0)
-            if width - depth <= best:
-                out[x].append((width - depth, best))
-    return out
-
-
-def _halves(length: int) -> list[tuple[int, int]]:
-    """Ranges of the anchor's offset in its window; all windows of a range share their middle."""
-    top = length - _SEED
-    return [(0, top // 2), (top // 2 + 1, top)]
+            for reach, is_other in ((other[i], True), (best, False)) if some else ((best, False),):
+                # a deeper interval with this left extent came before
+                if depth + reach >= width and not any(x2 >= reach and y2 >= depth and (o or not is_other) for (x2, y2), o in out[x].items()):
+                    out[x][reach, depth] = is_other
+    return [[(x, y, o) for (x, y), o in found.items()] for found in out]
 
 
-def pieces(wanted: DataFrame, length: int) -> DataFrame:
-    """(middle, k1, k2, a, lone, part, o_lo, o_hi, bytes): the texts around wanted anchors, cut by the halves of offsets."""
+def pieces(wanted: DataFrame) -> DataFrame:
+    """(g, k1, k2, a, lone, n_left, bytes): the surroundings of wanted anchors; ``g`` is the seed's hash."""
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(9)]
+            out = [[] for _ in range(7)]
             k1, k2, asked = (batch.column(c).to_pylist() for c in (1, 2, 3))
             for row, t in enumerate(batch.column(0).cast(pa.large_binary())):
                 text = t.as_py()
                 for r in asked[row]:
-                    a = r["a"]
-                    for part, (o1, o2) in enumerate(_halves(length)):
-                        lo, hi = max(o1, a - r["s2"]), min(o2, a - r["s1"])
-                        if lo <= hi:
-                            middle = _signed(xxhash.xxh3_64_intdigest(text[a - o1 : a - o2 + length], part))
-                            for column, value in zip(out, (middle, k1[row], k2[row], a, r["lone"], part, lo, hi, text[a - hi : a - lo + length]), strict=True):
-                                column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["middle", "k1", "k2", "a", "lone", "part", "o_lo", "o_hi", "bytes"])
-
-    return wanted.select("text", "k1", "k2", "asked").mapInArrow(run, "middle bigint, k1 bigint, k2 bigint, a int, lone boolean, part int, o_lo int, o_hi int, bytes binary")
-
-
-def _spans_of(group: list[tuple], length: int):
-    """Yields (k1, k2, lo, hi) of repeated windows in pieces that share hash of middle and part."""
-    o1, o2 = _halves(length)[group[0][4]]
+                    around = text[r["a"] - r["n_left"] : r["a"] + r["n_right"]]
+                    for column, value in zip(out, (r["core"], k1[row], k2[row], r["a"], r["lone"], r["n_left"], around), strict=True):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["g", "k1", "k2", "a", "lone", "n_left", "bytes"])
+
+    return wanted.select("text", "k1", "k2", "asked").mapInArrow(run, "g bigint, k1 bigint, k2 bigint, a int, lone boolean, n_left int, bytes binary")
+
+
+#: What tells a group: hash of the shared part, the range of the anchor's places in a window, the window's width.
+GROUP = ("g", "o1", "o2", "width")
+_SPAN = "k1 bigint, k2 bigint, lo int, hi int, other boolean"
+
+
+def _spans_of(group: list[tuple], o1: int, o2: int, width: int, least: int):
+    """Yields (k1, k2, lo, hi, other) of what repeats around the lone pieces (k1, k2, a, lone, n_left, bytes) of a group."""
     by_middle: dict[bytes, list[tuple]] = {}
-    for g in {g[:3] + g[4:7]: g for g in group}.values():  # rows that repeat id and text bring a piece twice
-        at = g[6] - o1  # bytes before the middle
-        by_middle.setdefault(g[7][at : at + length - (o2 - o1)], []).append(g)
+    for g in {x[:3]: x for x in group}.values():  # rows that repeat id and text bring a piece twice
+        by_middle.setdefault(g[5][g[4] - o1 : g[4] - o2 + width], []).append(g)
     for middle, same in by_middle.items():
         if len(same) < 2:
             continue
-        left = [g[7][: g[6] - o1][::-1] for g in same]
-        right = [g[7][g[6] - o1 + len(middle) :] for g in same]
-        for g, ranges in zip(same, repeated(left, right, o2 - o1), strict=True):
+        left = [g[5][: g[4] - o1][::-1] for g in same]
+        right = [g[5][g[4] - o1 + len(middle) :] for g in same]
+        for g, found in zip(same, repeated(left, right, least - len(middle), [x[:2] for x in same]), strict=True):
             if g[3]:
-                for lo, hi in ranges:
-                    yield g[0], g[1], g[2] - (o1 + hi), g[2] - (o1 + lo) + length
+                at = g[2] - o1
+                for x, y, other in found:
+                    yield g[0], g[1], at - x, at + len(middle) + y, other
 
 
-def compare(cut_pieces: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, lo, hi): spans of pieces whose windows occur in another piece of the group. Pieces of a group lie in one partition."""
+def compare(cut_pieces: DataFrame, least: int) -> DataFrame:
+    """(k1, k2, lo, hi, other): spans that recur in another piece of the group. The pieces of a group meet in one task."""
 
     def run(batches):
         group, key = [], None
-        names = ("k1", "k2", "a", "lone", "part", "o_lo", "o_hi", "bytes")
 
         def told(spans):
-            columns = list(zip(*spans, strict=True)) if spans else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["k1", "k2", "lo", "hi"])
+            columns = list(zip(*spans, strict=True)) if spans else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k1", "k2", "lo", "hi", "other"])
 
         for batch in batches:
             spans = []
-            rows = zip(batch.column("middle").to_pylist(), zip(*[batch.column(c).to_pylist() for c in names], strict=True), strict=True)
-            for middle, row in rows:
-                if (middle, row[4]) != key:
+            keys = zip(*[batch.column(c).to_pylist() for c in GROUP], strict=True)
+            rows = zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "a", "lone", "n_left", "bytes")], strict=True)
+            for now, row in zip(keys, rows, strict=True):
+                if now != key:
                     if len(group) > 1:
-                        spans += _spans_of(group, length)
-                    group, key = [], (middle, row[4])
+                        spans += _spans_of(group, *key[1:], least)
+                    group, key = [], now
                 group.append(row)
             yield told(spans)
         if len(group) > 1:
-            yield told(list(_spans_of(group, length)))
+            yield told(list(_spans_of(group, *key[1:], least)))
 
-    dealt = cut_pieces.repartition("middle", "part").sortWithinPartitions("middle", "part")
-    return dealt.mapInArrow(run, "k1 bigint, k2 bigint, lo int, hi int")
+    return cut_pieces.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, _SPAN)
 
 
-def compare_by_window(cut_pieces: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: a row per window, counted by hash."""
+def narrowed(cut_pieces: DataFrame, length: int, least: int) -> DataFrame:
+    """Pieces of groups that are too large, in smaller ones: windows of half the places, or from ``least`` bytes on those of ``length``."""
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for k1, k2, a, lone, lo, hi, data in zip(*[batch.column(c).to_pylist() for c in ("k1", "k2", "a", "lone", "o_lo", "o_hi", "bytes")], strict=True):
-                for o in range(lo, hi + 1):
-                    h = xxhash.xxh3_128_intdigest(data[hi - o : hi - o + length], o)
-                    for column, value in zip(out, (_signed(h >> 64), _signed(h & ((1 << 64) - 1)), k1, k2, a - o, lone), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h1", "h2", "k1", "k2", "lo", "lone"])
-
-    windows = cut_pieces.mapInArrow(run, "h1 bigint, h2 bigint, k1 bigint, k2 bigint, lo int, lone boolean")
-    place = F.struct("k1", "k2", "lo")
-    twice = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2")
-    return windows.where("lone").join(twice, ["h1", "h2"]).select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
-
-
-def repeated_spans(keyed: DataFrame, length: int = 400, group_rows: int = 20_000) -> DataFrame:
-    """(k1, k2, lo, hi): byte spans (end exclusive) that cover exactly the bytes of repeated windows of each text."""
-    per_text = stored(anchors(keyed, length).groupBy("core", "class", "k1", "k2", "a", "s1", "s2").agg(F.count("*").alias("n")), "anchors")
-    cores = per_text.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
+            names = [*GROUP, "k1", "k2", "a", "lone", "n_left", "bytes"]
+            out = [[] for _ in names]
+            for _, o1, o2, width, k1, k2, a, lone, left, data in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if o1 < o2:
+                    ranges = [(o1, (o1 + o2) // 2, width), ((o1 + o2) // 2 + 1, o2, width)]
+                else:
+                    ranges = [(o1, o1 + length - width, length)]
+                for p, q, w in ranges:
+                    if max(p, w - (len(data) - left)) <= min(q, left):  # a window lies in the surroundings
+                        g = _signed(xxhash.xxh3_64_intdigest(data[left - p : left - q + w], p))
+                        for column, value in zip(out, (g, p, q, w, k1, k2, a, lone, left, data), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, [batch.schema.field(n) for n in names], strict=True)], names)
+
+    schema = "g bigint, o1 int, o2 int, width int, k1 bigint, k2 bigint, a int, lone boolean, n_left int, bytes binary"
+    return cut_pieces.select(*GROUP, "k1", "k2", "a", "lone", "n_left", "bytes").mapInArrow(run, schema)
+
+
+def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_rows: int = 8192) -> DataFrame:
+    """(k1, k2, lo, hi, other): byte spans that recur elsewhere, all that are maximal up to ``length`` bytes to either side of an anchor.
+
+    Every string of ``least`` up to ``length`` bytes that occurs twice lies within a span. ``other`` says that the other place is in another text or in a copy.
+    """
+    place = ("k1", "k2", "a")
+    # copies of a text count and go on as one row
+    per_text = stored(anchors(keyed, length, least).groupBy("core", "class", *place, "n_left", "n_right").agg(F.count("*").alias("n")), "anchors")
+    cores = stored(per_text.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"), "cores")
     twice = stored(per_text.join(cores, "core"), "twice")
-    classes = stored(twice.groupBy("core", "class").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "a", "s1", "s2")).alias("x")), "classes")
-    whole = twice.join(classes.where("n > 1").select("core", "class"), ["core", "class"]).select("k1", "k2", F.col("s1").alias("lo"), (F.col("s2") + length).alias("hi"))
-    mixed = classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
-    asked = classes.join(mixed, "core").groupBy("x.k1", "x.k2").agg(F.collect_list(F.struct("x.a", "x.s1", "x.s2", (F.col("n") == 1).alias("lone"))).alias("asked"))
+    text = F.struct("k1", "k2")
+    several = (F.min(text) != F.max(text)) | (F.max("n") > 1)
+    classes = stored(twice.groupBy("core", "class").agg(several.alias("done"), F.min(F.struct(*place)).alias("x"), F.count("*").alias("n")), "classes")
+    done = classes.where("done").select("core", "class")
+    whole = twice.join(done, ["core", "class"]).select("k1", "k2", (F.col("a") - F.col("n_left")).alias("lo"), (F.col("a") + F.col("n_right")).alias("hi"), F.lit(True).alias("other"))
+    # seeds with one class of several texts have nothing left to compare; elsewhere a done class sends one piece, for others to be compared with
+    mixed = stored(classes.groupBy("core").agg(F.count("*").alias("m"), F.bool_and("done").alias("done")).where("m > 1 or not done").select("core"), "mixed")
+    left = stored(classes.join(mixed, "core").select("core", "class", "done", "x"), "left")
+    asked = twice.join(left, ["core", "class"]).where(~F.col("done") | (F.struct(*place) == F.col("x")))
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "core", "n_left", "n_right", (~F.col("done")).alias("lone"))).alias("asked"))
     # of the copies of a text one row is enough; the least id is taken, nulls first
     one = keyed.select("k1", "k2", "doc_id").groupBy("k1", "k2").agg(F.min(F.struct("doc_id")).alias("first"))
-    asked = asked.join(one, ["k1", "k2"]).select("k1", "k2", "asked", F.col("first.doc_id").alias("first_id"))
-    wanted = keyed.join(asked, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    cut_pieces = stored(pieces(wanted, length), "pieces")
-    sizes = cut_pieces.groupBy("middle", "part").agg(F.count("*").alias("m")).where("m > 1")
-    sizes = stored(sizes, "groups")
-    big = sizes.where(F.col("m") > group_rows).select("middle", "part")
-    edges = compare(cut_pieces.join(sizes.where(F.col("m") <= group_rows).select("middle", "part"), ["middle", "part"]), length)
-    if not big.isEmpty():
-        edges = edges.unionByName(compare_by_window(cut_pieces.join(big, ["middle", "part"]), length))
-    return whole.unionByName(edges)
+    asked = stored(asked.join(one, ["k1", "k2"]).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "asked", F.col("first.doc_id").alias("first_id")), "asked")
+    # the id is part of the key, so that the copies of a text are dealt to many tasks
+    wanted = keyed.join(asked, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    level = stored(pieces(wanted).select("g", F.lit(0).alias("o1"), F.lit(least - _SEED).alias("o2"), F.lit(least).alias("width"), *place, "lone", "n_left", "bytes"), "pieces")
+    out = whole
+    while True:
+        big = stored(level.groupBy(*GROUP).agg(F.count("*").alias("m"), (F.min(text) != F.max(text)).alias("other"), (F.min(F.struct(*place)) != F.max(F.struct(*place))).alias("twice")).where(F.col("m") > group_rows), "large")
+        if big.isEmpty():
+            return out.unionByName(compare(level, least))
+        out = out.unionByName(compare(level.join(big, list(GROUP), "left_anti"), least))
+        deep = stored(level.join(big, list(GROUP)), "deep")
+        lo = F.col("a") - F.col("o1")
+        shared = deep.where("o1 = o2 and lone and twice").select("k1", "k2", lo.alias("lo"), (lo + F.col("width")).alias("hi"), "other")
+        out = out.unionByName(shared)
+        level = stored(narrowed(deep.where((F.col("o1") < F.col("o2")) | (F.col("width") < length)), length, least), "pieces")
+
+
+def _merged(spans) -> list[list[int]]:
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
 
+def _whole_words(text: bytes, lo: int, hi: int) -> int:
+    """Words that lie in a span with both ends."""
+    n = len(text[lo:hi].split())
+    cut_first = lo > 0 and not text[lo - 1 : lo].isspace() and not text[lo : lo + 1].isspace()
+    cut_last = hi < len(text) and not text[hi : hi + 1].isspace() and not text[hi - 1 : hi].isspace()
+    return max(0, n - cut_first - cut_last)
 
-def removed(docs: DataFrame, length: int = 400, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges, merged).
+
+def removed(docs: DataFrame, length: int = 400, least: int = 256, passage_words: int = 50, group_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, spans (removed byte ranges, merged).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else, in the same or another row, judged on the
-    input. Null and short texts lose nothing; rows that repeat a text all lose it whole. Ids may be null or
+    input. ``n_passages`` removes nothing: it counts the maximal runs of bytes under strings of ``least`` bytes that also start in another row
+    which hold more than ``passage_words`` whole words. Null and short texts lose nothing; rows that repeat a text all lose it whole. Ids may be null or
     repeat; an empty table gives an empty result; other columns are not read.
     """
+    least = min(least, length)
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed, length, group_rows).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = stored(repeated_spans(keyed, length, least, group_rows).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "other")).alias("spans")), "spans")
     both = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for t, found in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
-                text, merged = t.as_py(), []
-                for lo, hi in sorted((x["lo"], x["hi"]) for x in found.as_py() or ()):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
+                text, all_spans = t.as_py(), found.as_py() or ()
+                merged = _merged((x["lo"], x["hi"]) for x in all_spans if x["hi"] - x["lo"] >= length)
+                passages = sum(_whole_words(text, lo, hi) > passage_words for lo, hi in _merged((x["lo"], x["hi"]) for x in all_spans if x["other"]))
                 kept, at = hashlib.sha256(), 0
                 for lo, hi in merged:
                     kept.update(text[at:lo])
                     at = hi
                 kept.update(text[at:])
-                values = (len(text), sum(hi - lo for lo, hi in merged), len(merged), kept.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in merged])
+                values = (len(text), sum(hi - lo for lo, hi in merged), len(merged), kept.hexdigest(), passages, [{"lo": lo, "hi": hi} for lo, hi in merged])
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "spans"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<lo:int,hi:int>>")
+    return both.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, spans array<struct<lo:int,hi:int>>")

@@ -1,23 +1,25 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon groups and patterns; each says toxic, clean or abstains on a document. A generative label model
-estimates, without labels, every voter's accuracy on each class by expectation maximisation, and the correlation of voters from
-their joint votes given the class: a voter's evidence is shared with those it moves with, so that near copies of a
-voter do not count twice. Its posterior for each document of a bounded training sample is the soft label that
-a linear classifier over words is fitted on. That classifier alone scores documents.
+estimates every voter's accuracy on each class and the correlations of voters by expectation maximisation, without labels: given the class, votes form a
+tree in which each voter depends on the one it moves with most, so that a voter that copies another adds
+nothing. Its posterior for each document of a bounded training sample is the soft label that a linear classifier over words is fitted on. That classifier alone scores documents.
 
-The lexicons start from the words below and are widened by words and word beginnings that training labels mark (``marked``). Labels come only from the rows passed in; language, source and id are never features.
+The lexicons start from the words below and are widened by words and word beginnings that training labels mark (``marked``), as the words
+of a language nobody listed cannot be known otherwise; labels also place the score 0.7. They come only from the rows passed in; language, source and id are never features.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Insults and threats by group.
@@ -51,49 +53,99 @@ def words(text: str | None) -> set[str]:
     return found.union(*[["^" + w[:k] for w in found if len(w) >= k] for k in STEMS])
 
 
-def vote(found: set[str], n_words: int, text: str | None, lexicons: list[frozenset[str]]) -> list[int]:
+class Example(NamedTuple):
+    """What the fit keeps of a text: features (the lowest by hash of very many), number of all features, whether an insult is aimed at somebody."""
+
+    found: frozenset[str]
+    size: int
+    aimed: bool
+
+
+def example(text: str | None, most: int = 20_000) -> Example:
+    found = words(text)
+    kept = found if len(found) <= most else sorted(found, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))[:most]
+    return Example(frozenset(kept), len(found), _AIMED.search(text or "") is not None)
+
+
+def vote(found: set[str] | frozenset[str], size: int, aimed: bool, lexicons: list[frozenset[str]]) -> list[int]:
     """1 toxic, -1 clean, 0 abstains: one per lexicon, then the patterns and the voters for texts without any hit."""
     hits = [1 if not lex.isdisjoint(found) else 0 for lex in lexicons]
     total = sum(hits)
-    aimed = 1 if total and _AIMED.search(text or "") else 0
-    return [*hits, 1 if total >= 2 else 0, aimed, 0 if total else -1, 0 if total or n_words < 5 else -1]
+    return [*hits, 1 if total >= 2 else 0, 1 if total and aimed else 0, 0 if total else -1, 0 if total or size < 5 else -1]
 
 
 class LabelModel:
-    """Class balance, and each voter's chance of each vote given the class, by expectation maximisation."""
+    """Class balance, each voter's chance of each vote given the class, and which voter it depends on, by expectation maximisation.
 
-    def __init__(self, votes: np.ndarray, rounds: int = 30, prior: float = 0.1) -> None:
+    ``log`` has each voter's log ratio of a vote under the classes, ``parent`` the voter it depends on (-1: none), ``weight`` the
+    share of its evidence that its parent does not give already.
+    """
+
+    def __init__(self, votes: np.ndarray, rounds: int = 30, prior: float = 0.1, dependence: float = 0.05) -> None:
         n, m = votes.shape
-        values = (-1, 0, 1)
-        seen = np.stack([votes == v for v in values], axis=2).astype(float)  # rows, voters, values
+        seen = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # rows, voters, values
+        flat = seen.reshape(n, m * 3)
         post = np.clip(np.where((votes == 1).any(1), 0.9, prior / 2), 1e-3, 1 - 1e-3)
-        self.weight = np.ones(m)
-        for _ in range(rounds):
+        self.parent = [-1] * m
+        for done in range(rounds):
             self.prior = float(np.clip(post.mean(), 1e-4, 0.5))
-            chance = []
+            one, two = [], []  # by class: chances of a vote, and of two voters' votes together
             for p in (1 - post, post):
                 c = np.einsum("n,nmv->mv", p, seen) + 0.1
-                chance.append(c / c.sum(1, keepdims=True))
-            self.log = np.log(chance[1]) - np.log(chance[0])
+                one.append(c / c.sum(1, keepdims=True))
+                j = (flat.T @ (flat * p[:, None])).reshape(m, 3, m, 3).transpose(0, 2, 1, 3) + 0.1 * one[-1][:, None, :, None] * one[-1][None, :, None, :]
+                two.append(j / j.sum((2, 3), keepdims=True))
+            self.log = np.log(one[1]) - np.log(one[0])
             self.log[:, 1] = 0.0  # an abstention says nothing
-            # correlation within the class: a voter's evidence is shared with the voters that move with it
-            left = votes - np.outer(1 - post, (chance[0] * values).sum(1)) - np.outer(post, (chance[1] * values).sum(1))
-            sd = left.std(0) + 1e-9
-            corr = np.abs(left.T @ left / max(n, 1) / np.outer(sd, sd))
-            np.fill_diagonal(corr, 1.0)
-            self.weight = 1 / np.sqrt(np.where(corr > 0.3, corr, 0).sum(1).clip(1.0))
+            # what two voters tell of each other within the classes, over what either tells at all
+            shared = sum(w * (t * np.log(t / (o[:, None, :, None] * o[None, :, None, :]))).sum((2, 3)) for w, t, o in zip((1 - self.prior, self.prior), two, one, strict=True))
+            own = sum(w * -(o * np.log(o)).sum(1) for w, o in zip((1 - self.prior, self.prior), one, strict=True))
+            share = np.clip(shared / np.maximum(np.minimum(own[:, None], own[None]), 1e-9), 0.0, 1.0)
+            if done == rounds // 2:  # dependences show once the classes are told apart by voters taken as independent
+                self.parent = self._tree(share, dependence)
+            self.weight = np.array([1.0 if k < 0 else 1.0 - share[j, k] for j, k in enumerate(self.parent)])
+            # given the parent's vote
+            self.given = [[None if k < 0 else t[k, j] / t[k, j].sum(1, keepdims=True) for j, k in enumerate(self.parent)] for t in two]
             post = self.posterior(votes)
-        self.accuracy = chance
+        self.accuracy = one
+
+    @staticmethod
+    def _tree(share: np.ndarray, least: float) -> list[int]:
+        """A spanning forest of the strongest dependences of ``least`` or more, each voter with its parent."""
+        m = len(share)
+        parent, done = [-1] * m, set()
+        for root in range(m):
+            if root in done:
+                continue
+            done.add(root)
+            inside = [root]
+            while True:
+                best = max(((share[a, b], -a, -b) for a in inside for b in range(m) if b not in done), default=(0.0, 0, 0))
+                if best[0] < least:
+                    break
+                parent[-best[2]] = -best[1]
+                done.add(-best[2])
+                inside.append(-best[2])
+        return parent
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = math.log(self.prior / (1 - self.prior)) + sum(self.weight[j] * self.log[j][votes[:, j] + 1] for j in range(votes.shape[1]))
+        z = np.full(len(votes), math.log(self.prior / (1 - self.prior)))
+        for j, k in enumerate(self.parent):
+            mine = votes[:, j] + 1
+            if k < 0:
+                z += self.log[j][mine]
+            else:
+                theirs = votes[:, k] + 1
+                more = np.log(self.given[1][j][theirs, mine]) - np.log(self.given[0][j][theirs, mine])
+                # a parent that abstains says nothing that the voter could repeat
+                z += np.where(votes[:, j] == 0, 0.0, np.where(votes[:, k] == 0, self.log[j][mine], more))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Classifier:
     """Logistic regression on presence of the given features, with a bias."""
 
-    def __init__(self, rows: list[set[str]], target: np.ndarray, chosen: list[str], rounds: int = 400, l2: float = 1e-5) -> None:
+    def __init__(self, rows: list[frozenset[str]], target: np.ndarray, chosen: list[str], rounds: int = 400, l2: float = 1e-5) -> None:
         mean = float(target.mean()) if len(target) else 0.0
         at = {w: j for j, w in enumerate(sorted(chosen))}
         pairs = [(i, at[w]) for i, r in enumerate(rows) for w in at.keys() & r]
@@ -128,16 +180,16 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(found) - self.shift))))
 
 
-def marked(labelled: list[tuple[str | None, int]], evidence: float = 25.0, purity: float = 0.9, most: int = 2000) -> list[str]:
+def marked(labelled: list[tuple[Example, int]], evidence: float = 25.0, purity: float = 0.9, most: int = 2000) -> list[str]:
     """Features that labels mark as toxic: nearly only in toxic rows, by more than chance explains.
 
     ``evidence`` is twice the log likelihood ratio against the base rate; among many rare features some are only in
     toxic rows by chance, and they stay below it. Only what toxic rows alone could lift over it is counted in all rows.
     """
     base = min(0.5, max(1e-3, sum(y for _, y in labelled) / max(len(labelled), 1)))
-    hit = Counter(w for t, y in labelled if y for w in words(t) if len(w) > 2)
+    hit = Counter(w for e, y in labelled if y for w in e.found if len(w) > 2)
     hit = {w: c for w, c in hit.items() if -2 * c * math.log(base) >= evidence}
-    n = Counter(w for t, _ in labelled for w in hit.keys() & words(t))
+    n = Counter(w for e, _ in labelled for w in hit.keys() & e.found)
     found = []
     for w, c in hit.items():
         k, p = n[w], c / n[w]
@@ -148,16 +200,12 @@ def marked(labelled: list[tuple[str | None, int]], evidence: float = 25.0, purit
     return [w for _, w in sorted(found)[:most]]
 
 
-def fit(labelled: list[tuple[str | None, int]], groups_of: int = 6) -> Classifier:
-    """The classifier from (text, label) rows, label 0 or 1. Rows are kept as the few features that can vote."""
+def fit(labelled: list[tuple[Example, int]], groups_of: int = 6) -> Classifier:
+    """The classifier from examples with their labels, 0 or 1."""
     new = marked(labelled)
     listed = frozenset(" ".join(LEXICONS.values()).split())
     keep = listed.union(new)
-    rows, sizes, y = [], [], [int(v) for _, v in labelled]
-    for t, _ in labelled:
-        w = words(t)
-        rows.append(keep & w)
-        sizes.append(len(w))
+    rows, y = [keep & e.found for e, _ in labelled], [int(v) for _, v in labelled]
     clean, toxic = Counter(), Counter()
     for r, v in zip(rows, y, strict=True):
         (toxic if v else clean).update(listed & r)
@@ -166,7 +214,7 @@ def fit(labelled: list[tuple[str | None, int]], groups_of: int = 6) -> Classifie
     known = frozenset().union(*groups)
     new = [w for w in new if w not in known]
     groups += [frozenset(new[k::groups_of]) for k in range(groups_of) if new[k::groups_of]]
-    votes = np.array([vote(r, n, t, groups) for r, n, (t, _) in zip(rows, sizes, labelled, strict=True)], dtype=int).reshape(len(rows), len(groups) + 4)
+    votes = np.array([vote(r, e.size, e.aimed, groups) for r, (e, _) in zip(rows, labelled, strict=True)], dtype=int).reshape(len(rows), len(groups) + 4)
     target = LabelModel(votes).posterior(votes) if len(rows) else np.zeros(0)
     seen = Counter(w for r in rows for w in known & r)
     model = Classifier(rows, target, [*new, *(w for w in known if seen[w])])
@@ -175,21 +223,36 @@ def fit(labelled: list[tuple[str | None, int]], groups_of: int = 6) -> Classifie
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out, rows: int, max_chars: int, column: str) -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows that ``held_out`` (a Column over doc_id) is not true for, by hash of the id.
+def picked(labels: DataFrame, held_out: Column, rows: int, column: str) -> DataFrame:
+    """(doc_id, y): a bounded sample of labelled rows that ``held_out`` is not true for, by hash of the id.
 
-    Texts of over ``max_chars`` characters are left to the scoring: they are whole or absent in the sample.
     Labels that differ for one id, or are null, are left out.
     """
     one = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
-    picked = one.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "y")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    return [(r.text, r.y) for r in sorted(got, key=lambda r: r.doc_id)]
+    return one.where(~held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "y")
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of the chosen rows, of texts that share an id the least. ``chosen`` is a bounded sample."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int, features: int) -> list[tuple[Example, int]]:
+    """Examples of a bounded sample of labelled rows. Whole texts are read where they lie; ``features`` bounds what each row sends."""
+
+    def run(batches):
+        for batch in batches:
+            told = [example(t.as_py(), features) for t in batch.column(2)]
+            found = pa.array([sorted(e.found) for e in told], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array([e.size for e in told], pa.int64()), pa.array([e.aimed for e in told], pa.bool_())], ["doc_id", "y", "found", "size", "aimed"])
+
+    made = labelled_texts(docs, picked(labels, held_out, rows, "toxic")).mapInArrow(run, "doc_id bigint, y int, found array<string>, size bigint, aimed boolean")
+    return [(Example(frozenset(r.found), r.size, r.aimed), r.y) for r in sorted(made.collect(), key=lambda r: r.doc_id)]
 
 
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of each row's whole text; null texts count as empty; ids may be null or repeat."""
+    """(doc_id, score) of each row's whole text; null texts count as empty; ids may be null or repeat; an empty table gives an empty result; other columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -201,14 +264,20 @@ def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, max_chars: int = 20_000) -> Classifier:
-    """The classifier from labelled rows outside the held-out third (crc32 of the id as text, mod 3, is 1)."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, row_features: int = 20_000) -> Classifier:
+    """The classifier from labelled rows outside the held-out third (crc32 of the id as text, mod 3, is 1).
+
+    ``sample_rows`` bounds the rows, by hash of the id, and ``row_features`` the words of one row. Without labels every text is clean.
+    """
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    return fit(sample(docs, labels, held, sample_rows, max_chars, "toxic"))
+    return fit(sample(docs, labels, held, sample_rows, row_features))
 
 
 def clean(docs: DataFrame, model: Classifier, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more. All columns stay; no shuffle, and no id is needed."""
+    """``docs`` without the rows that score ``threshold`` or more. All columns stay; no shuffle, and no id is needed.
+
+    Null and empty texts score as texts without words; a score of exactly ``threshold`` goes; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

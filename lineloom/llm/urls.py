@@ -59,7 +59,8 @@ def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85,
 
     Each round joins the ranks to the links by source and sums by target, with sums before the shuffle. Every few
     rounds a reliable checkpoint ends the plan. Without ``rounds`` it goes on until the ranks have settled and every host that
-    links lead to is reached. Rank that reaches a host without links ends there.
+    links lead to is reached. Rank that reaches a host without links ends there; as a share of the sum of all ranks a host has what it would have
+    if such rank went back to the seeds.
     """
     out = links.groupBy("src").agg(F.count("*").alias("n"))
     arcs = cut(links.join(out, "src").select("src", "dst", (F.lit(damping) / F.col("n")).alias("pass")))
@@ -98,7 +99,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
     for which, arcs in (("allow", links), ("block", links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))):
         own = counts.where(F.col("ruled") == which)
         total = own.agg(F.sum("n")).first()[0] or 1
-        ranks.append(personalised_rank(arcs, own.select("host", (F.col("n") / F.lit(total)).alias("share")), damping, rounds))
+        rank = cut(personalised_rank(arcs, own.select("host", (F.col("n") / F.lit(total)).alias("share")), damping, rounds))
+        whole = rank.agg(F.sum("rank")).first()[0] or 1.0
+        ranks.append(rank.withColumn("rank", F.col("rank") / F.lit(whole)))
     trust, distrust = ranks[0].withColumnRenamed("rank", "trust"), ranks[1].withColumnRenamed("rank", "distrust")
     score = cut(trust.join(distrust, "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     both = ruled.join(score, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})

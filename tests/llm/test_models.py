@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -61,6 +63,7 @@ def test_label_model_learns_accuracy_and_correlation():
     other = np.where(rng.random(3000) < 0.85, np.where(y, 1, -1), 0)
     votes = np.stack([good, good, other, bad], axis=1)
     m = toxicity.LabelModel(votes)
+    assert m.parent[1] == 0 and m.weight[1] < 0.05 and m.parent[3] == -1  # the copy depends on its twin and adds nothing
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.97
     assert abs(m.log[3][2]) < 1 < m.log[0][2]
     assert m.weight[0] <= m.weight[3]  # copies of a voter share their evidence
@@ -95,3 +98,29 @@ def test_quality_held_out(spark, documents, tmp_path):
     out = [i for i, _ in rows if got[i].held_out]
     assert sum(got[i].predicted == (i % 4 != 0) for i in out) >= 0.97 * len(out)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+    # scores are the logistic of a linear function of the features, by plain loops
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert 0.15 < model.quantile < 0.35  # a quarter is bad, so about as many stand below the cut
+    for r in docs.collect()[:60]:
+        x = quality.features(r.text)
+        z = sum(w * v for w, v in zip(model.weights, x + [max(0.0, v - k) for knot in model.knots for v, k in zip(x, knot)]))
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(model.shift - z))) < 1e-9
+
+
+def test_toxicity_scores_match_plain_loops(spark, documents):
+    rows, labels = corpus(300, 3)
+    rows += [(7, "the same id, IDIOT, again zonkarel"), (7, None), (8000, "moron " * 30_000)]
+    docs = documents(rows, extra=True)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = sorted((r.doc_id, round(r.score, 9)) for r in toxicity.scores(docs, model).collect())
+
+    def plain(t):
+        found = set()
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            found |= {w, *("^" + w[:k] for k in (4, 5, 6) if len(w) >= k)}
+        z = model.bias + sum(v for w, v in model.weights.items() if w in found) - model.shift
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    assert got == sorted((i, round(plain(t), 9)) for i, t in rows)
+    assert toxicity.example("a " * 10 + "b c", most=2).size == 3 and len(toxicity.example("aa bb cc dd", most=2).found) == 2

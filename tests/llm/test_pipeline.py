@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline as cp
 from lineloom.llm import decontaminate, mixing, pii, simhash, toxicity
 
@@ -60,6 +62,26 @@ def test_empty_documents(spark, documents, tmp_path):
     assert nothing.collect() == []
 
 
-def test_stages_call_the_operators():
-    assert all(m for m in (decontaminate.clean, mixing.mix, pii.find, simhash.deduplicate, toxicity.clean))
+def test_stages_call_the_operators(monkeypatch):
+    """Every stage goes through the operator it names, and through no other."""
+    for name, module, function in (("toxicity", toxicity, "clean"), ("near_duplicates", simhash, "deduplicate"), ("decontamination", decontaminate, "clean"), ("personal_data", pii, "find"), ("mixing", mixing, "mix")):
+        called = []
+
+        def spy(*args, called=called, **kwargs):
+            called.append(args[0])
+            raise StopIteration
+
+        with monkeypatch.context() as m:
+            m.setattr(module, function, spy)
+            m.setattr(cp, "table", lambda *a: None)
+            m.setattr(toxicity, "train", lambda *a: None)
+
+            class Docs:
+                def select(self, *columns):
+                    return self
+
+            docs = Docs()
+            with pytest.raises(StopIteration):
+                dict(cp.STAGES)[name](None, docs, "")
+        assert called == [docs]
     assert cp.ORACLE_SQL is None

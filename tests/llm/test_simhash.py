@@ -69,6 +69,19 @@ def test_components_match_brute_force(spark, documents):
     want = {(a, b): (x ^ y).bit_count() for a, x in reps.items() for b, y in reps.items() if a < b and (x ^ y).bit_count() <= 4}
     assert got == want
     assert simhash.links(classes).count() == len(want)  # each pair once
+    # ties are links or lead to them, and fewer of them have the same components
+    root = {i: i for i in reps}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    tied = [(r.a, r.b) for r in simhash.ties(classes).collect()]
+    for a, b in tied:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    assert {i: top(i) for i in reps} == brute_components(reps)
+    assert len(tied) < len(want)
 
 
 def test_near_duplicates_edge_cases(documents):
@@ -108,15 +121,6 @@ def test_similar_groups_follow_jaccard(documents):
     assert {r.doc_id for r in kept.collect()} == {20 * g for g in range(6)} | {1000 + k for k in range(60)}
 
 
-def test_wide_fingerprint_tells_similarity():
-    rng = np.random.default_rng(1)
-    words = [f"w{k}" for k in rng.integers(0, 10**6, 2000)]
-    other = words[:1600] + [f"v{k}" for k in rng.integers(0, 10**6, 400)]
-    a, b = (simhash.wide_fingerprint(" ".join(w).encode()) for w in (words, other))
-    far = simhash.wide_fingerprint(" ".join(words[::-1]).encode())
-    assert int(np.bitwise_count(a ^ b).sum()) < simhash.bits_at(0.6) < int(np.bitwise_count(a ^ far).sum())
-
-
 def jaccard(x, y, width=5):
     a, b = ({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (x.split(), y.split()))
     return len(a & b) / len(a | b)
@@ -151,3 +155,40 @@ def test_a_repeated_line_is_no_near_copy(documents):
     rows = [(k, " ".join([line] * times + [f"t{times}d{k}w{i}" for i in range(150)])) for k, times in enumerate([20, 20, 10, 10])]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+@pytest.mark.parametrize("tile_rows", [3, 1024])
+def test_families_across_tiles(documents, tile_rows):
+    """A family of near copies of one text, most alike by less than 0.8 to each other: tiles of any size give the components of all links."""
+    rng = random.Random(tile_rows)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        copy = list(words)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 5, 8])):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(500, None), (501, ""), (502, " "), (None, rows[0][1]), (3, rows[9][1])]
+    root = {i: i for i, _ in rows if i is not None}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    named = [(i, t) for i, t in rows if i is not None]
+    for a, (i, x) in enumerate(named):
+        for j, y in named[:a]:
+            if i == j or (not (x or "").split() and not (y or "").split()) or ((x or "").split() and (y or "").split() and jaccard(x, y) >= 0.8):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    got = {}
+    for r in simhash.similar_groups(documents(rows, extra=True), tile_rows=tile_rows).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == {i: {top(i)} for i, _ in named}
+
+
+def test_deduplicate_keeps_rows_that_repeat_an_id(documents):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(2, text), (1, text), (1, text + " end"), (None, text), (5, "other words"), (5, "other words")]
+    kept = simhash.deduplicate(documents(rows, extra=True)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, text), (1, text + " end"), (0, text), (5, "other words"), (5, "other words")])

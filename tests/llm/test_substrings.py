@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -23,6 +24,23 @@ def brute(texts, length):
     return out
 
 
+def brute_passages(texts, least, words):
+    """Per text: maximal runs under strings of ``least`` bytes that start in another text too, which hold more than ``words`` whole words."""
+    owners = {}
+    for i, t in enumerate(texts):
+        for s in range(len(t) - least + 1):
+            owners.setdefault(t[s : s + least], set()).add(i)
+    out = []
+    for t in texts:
+        under = bytearray(len(t))
+        for s in range(len(t) - least + 1):
+            if len(owners[t[s : s + least]]) > 1:
+                under[s : s + least] = b"\1" * least
+        tokens = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        out.append(sum(sum(m.start() <= a and b <= m.end() for a, b in tokens) > words for m in re.finditer(b"\1+", bytes(under))))
+    return out
+
+
 def corpus(seed):
     rng = random.Random(seed)
     rand = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
@@ -38,17 +56,20 @@ def corpus(seed):
             t += p
         texts.append(t)
     texts += ["x" * 500, "ab" * 200, "", "short", texts[0], texts[1], rand(80), rand(79)]
+    texts += [" ".join(["lines of one text only, again and again"] * 9)]
     return texts
 
 
-@pytest.mark.parametrize("seed,group_rows", [(1, 20_000), (2, 20_000), (3, 2)])
-def test_matches_brute_force(documents, seed, group_rows):
+@pytest.mark.parametrize("seed,group_rows,least", [(1, 20_000, 80), (2, 20_000, 50), (3, 2, 80), (4, 2, 50)])
+def test_matches_brute_force(documents, seed, group_rows, least):
     texts = corpus(seed)
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (3, texts[3]), (None, texts[5])]
-    got = substrings.removed(documents(rows, extra=True), length=80, group_rows=group_rows).collect()
-    want = brute([(t or "").encode() for _, t in rows], 80)
+    got = substrings.removed(documents(rows, extra=True), length=80, least=least, passage_words=6, group_rows=group_rows).collect()
+    plain = [(t or "").encode() for _, t in rows]
+    want = [(*w, p) for w, p in zip(brute(plain, 80), brute_passages(plain, least, 6))]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
-    assert sorted([tuple(r)[:5] for r in got], key=key) == sorted([(i, *w) for (i, _), w in zip(rows, want)], key=key)
+    assert sorted([tuple(r)[:6] for r in got], key=key) == sorted([(i, *w) for (i, _), w in zip(rows, want)], key=key)
+    assert sum(w[-1] for w in want) > 10
 
 
 def test_runs_cover_all_windows_and_chunks_agree(monkeypatch):

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from lineloom.llm import embeddings
 
@@ -84,3 +85,41 @@ def test_calibration_is_monotone_and_counts_are_windows():
     q, o = rng.standard_normal((20, 7)).astype(np.float32), rng.standard_normal((50, 7)).astype(np.float32)
     got = embeddings.collisions(q, o, 0.3)
     assert (got == (np.abs(q[:, None] - o[None]) <= np.float32(0.3)).sum(2)).mean() > 0.999
+
+
+@pytest.mark.parametrize("per_key", [3, 6])
+def test_bands_find_pairs_at_the_limit_once(spark, per_key):
+    """Pairs planted at cosines from 0.93: keys over several tables find nearly all, and count each once."""
+    rng = np.random.default_rng(per_key)
+    rows, planted = [], {}
+    for k in range(300):
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(64)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        cosine = [0.9301, 0.935, 0.94, 0.95][k % 4]
+        planted[2 * k] = cosine
+        rows += [(2 * k, a.tolist(), 1), (2 * k + 1, (cosine * a + math.sqrt(1 - cosine**2) * b).tolist(), 1)]
+    want = brute(rows)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(make(spark, rows), per_key=per_key, run_size=100).collect()}
+    by = {w[0]: w for w in want}
+    assert all(r.n_links <= by[i][1] for i, r in got.items())
+    for cosine in set(planted.values()):
+        there = [i for i, c in planted.items() if c == cosine and by[i][1]]
+        assert there and sum(got[i].n_links == by[i][1] for i in there) >= 0.97 * len(there), cosine
+
+
+def test_bands_follow_the_size():
+    sizes = [embeddings.bands(10**k, 0.93, 0.999) for k in range(2, 10)]
+    assert sizes[0] == (0, 1) and [k for k, _ in sizes] == sorted(k for k, _ in sizes) and sizes[-1][0] > 8
+    # the chance that cells of six spreads keep a pair, by simulation
+    rng = np.random.default_rng(0)
+    x, d = rng.random(200_000) * 6, rng.standard_normal(200_000)
+    assert abs((np.floor(x / 6) == np.floor((x + d) / 6)).mean() - embeddings._KEPT) < 0.005
+
+
+def test_negative_zeros_are_zeros(spark):
+    rows = [(1, [0.0, 1.0, 2.0], 1), (2, [-0.0, 1.0, 2.0], 1), (3, [9.0, 1.0, 2.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(make(spark, rows)).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
