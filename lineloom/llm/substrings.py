@@ -151,25 +151,36 @@ def repeated(left: list[bytes], right: list[bytes], width: int, owner: list | No
     ``left`` reads away from the shared middle, as ``right`` does. ``other`` says that the occurrence is another ``owner``'s; without
     owners each occurrence is its own. What lies within a longer entry of the same kind is left out.
     """
-    out: list[dict[tuple[int, int], bool]] = [{} for _ in left]
-    order = sorted(range(len(right)), key=right.__getitem__)
-    rank = {x: i for i, x in enumerate(sorted(range(len(left)), key=left.__getitem__))}
-    longest = max(map(len, left), default=0)
-    of = list(range(len(left))) if owner is None else owner
+    n = len(left)
+    out: list[list[tuple[int, int, bool]]] = [[] for _ in left]
+    order = sorted(range(n), key=right.__getitem__)
+    by_left = sorted(range(n), key=left.__getitem__)
+    along = np.array([_common(left[x], left[y]) for x, y in zip(by_left, by_left[1:], strict=False)], np.int64)
+    rank = np.empty(n, np.int64)
+    rank[by_left] = np.arange(n)
+    in_order, longest = rank[order], max(map(len, left), default=0)
+    who = None if owner is None or len(set(owner)) == n else [owner[x] for x in by_left]
+    # by rank: the longest left extent so far; deeper intervals come first, so a shorter or equal one lies within a longer entry
+    known = {True: np.full(n, -1), False: np.full(n, -1)}
     for depth, first, last in intervals([right[x] for x in order]):
         if last == first or depth + longest < width:
             continue
-        members = sorted(order[first : last + 1], key=rank.__getitem__)
-        extent = [_common(left[x], left[y]) for x, y in zip(members, members[1:], strict=False)]  # left extension, neighbour by neighbour
-        other = _elsewhere(extent, [of[x] for x in members])
-        some = len({of[x] for x in members}) > 1
-        for i, x in enumerate(members):
-            best = max(extent[i - 1] if i else 0, extent[i] if i < len(extent) else 0)
-            for reach, is_other in ((other[i], True), (best, False)) if some else ((best, False),):
-                # a deeper interval with this left extent came before
-                if depth + reach >= width and not any(x2 >= reach and y2 >= depth and (o or not is_other) for (x2, y2), o in out[x].items()):
-                    out[x][reach, depth] = is_other
-    return [[(x, y, o) for (x, y), o in found.items()] for found in out]
+        members = np.sort(in_order[first : last + 1])
+        extent = np.minimum.reduceat(along[: members[-1]], members[:-1])  # left extension, neighbour by neighbour
+        best = np.r_[extent, 0]
+        best[1:] = np.maximum(best[1:], extent)
+        if who is None:
+            other = best
+        else:
+            of = [who[k] for k in members]
+            other = np.array(_elsewhere(extent.tolist(), of)) if len(set(of)) > 1 else np.full(len(best), -1)
+        for is_other, reach in ((True, other), (False, best)):
+            fresh = (reach > known[is_other][members]) & (depth + reach >= width)
+            for k, x in zip(members[fresh].tolist(), reach[fresh].tolist(), strict=True):
+                out[by_left[k]].append((x, depth, is_other))
+                known[is_other][k] = x
+                known[False][k] = max(known[False][k], x)
+    return out
 
 
 def pieces(wanted: DataFrame) -> DataFrame:
@@ -193,11 +204,11 @@ def pieces(wanted: DataFrame) -> DataFrame:
 
 #: What tells a group: hash of the shared part, the range of the anchor's places in a window, the window's width.
 GROUP = ("g", "o1", "o2", "width")
-_SPAN = "k1 bigint, k2 bigint, lo int, hi int, other boolean"
+_SPAN = "k1 bigint, k2 bigint, a int, lo int, hi int, other boolean"
 
 
 def _spans_of(group: list[tuple], o1: int, o2: int, width: int, least: int):
-    """Yields (k1, k2, lo, hi, other) of what repeats around the lone pieces (k1, k2, a, lone, n_left, bytes) of a group."""
+    """Yields (k1, k2, a, lo, hi, other) of what repeats around the lone pieces (k1, k2, a, lone, n_left, bytes) of a group."""
     by_middle: dict[bytes, list[tuple]] = {}
     for g in {x[:3]: x for x in group}.values():  # rows that repeat id and text bring a piece twice
         by_middle.setdefault(g[5][g[4] - o1 : g[4] - o2 + width], []).append(g)
@@ -210,19 +221,19 @@ def _spans_of(group: list[tuple], o1: int, o2: int, width: int, least: int):
             if g[3]:
                 at = g[2] - o1
                 for x, y, other in found:
-                    yield g[0], g[1], at - x, at + len(middle) + y, other
+                    yield *g[:3], at - x, at + len(middle) + y, other
 
 
 def compare(cut_pieces: DataFrame, least: int) -> DataFrame:
-    """(k1, k2, lo, hi, other): spans that recur in another piece of the group. The pieces of a group meet in one task."""
+    """(k1, k2, a, lo, hi, other): spans that recur in another piece of the group. The pieces of a group meet in one task."""
 
     def run(batches):
         group, key = [], None
 
         def told(spans):
-            columns = list(zip(*spans, strict=True)) if spans else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k1", "k2", "lo", "hi", "other"])
+            columns = list(zip(*spans, strict=True)) if spans else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k1", "k2", "a", "lo", "hi", "other"])
 
         for batch in batches:
             spans = []
@@ -276,13 +287,17 @@ def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_
     twice = stored(per_text.join(cores, "core"), "twice")
     text = F.struct("k1", "k2")
     several = (F.min(text) != F.max(text)) | (F.max("n") > 1)
-    classes = stored(twice.groupBy("core", "class").agg(several.alias("done"), F.min(F.struct(*place)).alias("x"), F.count("*").alias("n")), "classes")
-    done = classes.where("done").select("core", "class")
-    whole = twice.join(done, ["core", "class"]).select("k1", "k2", (F.col("a") - F.col("n_left")).alias("lo"), (F.col("a") + F.col("n_right")).alias("hi"), F.lit(True).alias("other"))
-    # seeds with one class of several texts have nothing left to compare; elsewhere a done class sends one piece, for others to be compared with
-    mixed = stored(classes.groupBy("core").agg(F.count("*").alias("m"), F.bool_and("done").alias("done")).where("m > 1 or not done").select("core"), "mixed")
-    left = stored(classes.join(mixed, "core").select("core", "class", "done", "x"), "left")
-    asked = twice.join(left, ["core", "class"]).where(~F.col("done") | (F.struct(*place) == F.col("x")))
+    classes = stored(twice.groupBy("core", "class").agg(several.alias("done"), F.count("*").alias("n"), F.min(F.struct(*place)).alias("x")), "classes")
+    lo, hi = (F.col("a") - F.col("n_left")).alias("lo"), (F.col("a") + F.col("n_right")).alias("hi")
+    more = classes.where("done or n > 1").select("core", "class", "done", F.col("x.a").alias("first"))
+    member = stored(twice.join(more, ["core", "class"]).select(*place, "n_left", "n_right", "done", "first"), "members")
+    whole = member.select("k1", "k2", lo, hi, F.col("done").alias("other"))
+    # a class in one text only sends its first place; what is found there in other texts holds at all its places
+    again = member.where("not done and a <> first").select("k1", "k2", F.col("first").alias("a"), F.col("a").alias("at"))
+    # seeds with one class have nothing left to compare; elsewhere a done class sends a piece, too, for others to be compared with
+    mixed = stored(classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core"), "mixed")
+    left = classes.join(mixed, "core").select("core", "class", "done", "x")
+    asked = twice.join(left, ["core", "class"]).where(F.struct(*place) == F.col("x"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "core", "n_left", "n_right", (~F.col("done")).alias("lone"))).alias("asked"))
     # of the copies of a text one row is enough; the least id is taken, nulls first
     one = keyed.select("k1", "k2", "doc_id").groupBy("k1", "k2").agg(F.min(F.struct("doc_id")).alias("first"))
@@ -290,17 +305,21 @@ def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_
     # the id is part of the key, so that the copies of a text are dealt to many tasks
     wanted = keyed.join(asked, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     level = stored(pieces(wanted).select("g", F.lit(0).alias("o1"), F.lit(least - _SEED).alias("o2"), F.lit(least).alias("width"), *place, "lone", "n_left", "bytes"), "pieces")
-    out = whole
+    out = None
     while True:
         big = stored(level.groupBy(*GROUP).agg(F.count("*").alias("m"), (F.min(text) != F.max(text)).alias("other"), (F.min(F.struct(*place)) != F.max(F.struct(*place))).alias("twice")).where(F.col("m") > group_rows), "large")
-        if big.isEmpty():
-            return out.unionByName(compare(level, least))
-        out = out.unionByName(compare(level.join(big, list(GROUP), "left_anti"), least))
+        last = big.isEmpty()
+        found = compare(level if last else level.join(big, list(GROUP), "left_anti"), least)
+        out = found if out is None else out.unionByName(found)
+        if last:
+            break
         deep = stored(level.join(big, list(GROUP)), "deep")
-        lo = F.col("a") - F.col("o1")
-        shared = deep.where("o1 = o2 and lone and twice").select("k1", "k2", lo.alias("lo"), (lo + F.col("width")).alias("hi"), "other")
-        out = out.unionByName(shared)
+        start = F.col("a") - F.col("o1")
+        out = out.unionByName(deep.where("o1 = o2 and lone and twice").select(*place, start.alias("lo"), (start + F.col("width")).alias("hi"), "other"))
         level = stored(narrowed(deep.where((F.col("o1") < F.col("o2")) | (F.col("width") < length)), length, least), "pieces")
+    out = stored(out, "found")
+    moved = out.where("other").join(again, list(place)).select("k1", "k2", (F.col("lo") - F.col("a") + F.col("at")).alias("lo"), (F.col("hi") - F.col("a") + F.col("at")).alias("hi"), "other")
+    return whole.unionByName(out.drop("a")).unionByName(moved)
 
 
 def _merged(spans) -> list[list[int]]:
