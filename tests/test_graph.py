@@ -1,6 +1,9 @@
+import itertools
+import random
+
 import pytest
 
-from lineloom.operators import generate, graph, motifs, multiset
+from lineloom.operators import generate, graph, motifs, multiset, pairing
 
 
 def frames(spark, graphs):
@@ -79,26 +82,35 @@ def test_diagnosis(spark):
     assert generate.euler_trail(set(), {}) == []
 
 
-@pytest.mark.parametrize("n", [2, 6, 10])
-def test_pairing_is_least(n):
-    import itertools
-    import random
-
-    rng = random.Random(n)
-    cost = [[0] * n for _ in range(n)]
-    for i, j in itertools.combinations(range(n), 2):
-        cost[i][j] = cost[j][i] = rng.randrange(1, 50)
-
+def least_cost(cost):
     def least(free):
         if not free:
             return 0
         return min(cost[free[0]][j] + least([k for k in free[1:] if k != j]) for j in free[1:])
 
-    pairs, exact = generate.pair_up(cost)
-    assert exact and sum(cost[i][j] for i, j in pairs) == least(list(range(n)))
-    big = [[abs(i - j) for j in range(20)] for i in range(20)]
-    pairs, exact = generate.pair_up(big)
-    assert not exact and sum(big[i][j] for i, j in pairs) == 10
+    return least(list(range(len(cost))))
+
+
+@pytest.mark.parametrize("n", [0, 2, 4, 6, 8, 10])
+def test_pairing_is_least(n):
+    rng = random.Random(n)
+    for most in (3, 50):
+        for _ in range(30):
+            cost = [[0] * n for _ in range(n)]
+            for i, j in itertools.combinations(range(n), 2):
+                cost[i][j] = cost[j][i] = rng.randrange(1, most)
+            pairs = pairing.least_pairs(cost)
+            assert sorted(v for p in pairs for v in p) == list(range(n))
+            assert sum(cost[i][j] for i, j in pairs) == least_cost(cost)
+
+
+def test_pairing_of_many():
+    line = [[abs(i - j) for j in range(20)] for i in range(20)]
+    assert sum(line[i][j] for i, j in pairing.least_pairs(line)) == 10
+    # a 400-vertex lattice pairs with its neighbours
+    places = [(x, y) for x in range(20) for y in range(20)]
+    cost = [[abs(a - c) + abs(b - d) for c, d in places] for a, b in places]
+    assert sum(cost[i][j] for i, j in pairing.least_pairs(cost)) == 200
 
 
 def test_degrees_count_loops_and_isolated(spark):
