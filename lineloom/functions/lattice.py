@@ -55,6 +55,12 @@ def motif_text(motif: Column) -> Column:
     return F.array_join(F.transform(motif, lambda e: F.format_string("%d,%d>%d,%d", *[F.get(e, i) for i in range(4)])), ";")
 
 
+def motif_of_text(text: Column) -> Column:
+    """The motif that :func:`motif_text` wrote."""
+    edges = F.transform(F.split(text, ";"), lambda e: F.transform(F.split(e, "[,>]"), lambda v: v.cast("int")))
+    return F.when(text == "", F.array().cast(MOTIF)).otherwise(edges)
+
+
 # the same on plain tuples, for the grouped Python operators
 
 Edge = tuple[int, int, int, int]

@@ -97,7 +97,7 @@ def validity(node: DataFrame, edge: DataFrame, key: Sequence[str] = KEY) -> Data
     """Per pattern: components, and on the largest one whether an Eulerian circuit or path exists; covers_all; single_stroke.
 
     The largest component has most nodes, of equal ones the one with the least node. A circuit counts as a path. Patterns without nodes
-    are not in ``node`` and get no row here; ``plans`` fills them with false.
+    are not in ``node`` and get no row here; :func:`reports.validity_of_all` starts from the trace and fills them.
     """
     deg = degrees(node, edge, key)
     root = component_roots(node, edge, key)

@@ -57,12 +57,15 @@ def peaks(heat: DataFrame, threshold: float = 0.4, min_distance: float = 2.5, wi
     return heat.where(F.col("v") >= threshold).groupBy(*image).applyInPandas(run, f"{kinds}, rank bigint, row int, col int, v double")
 
 
-def heat_stats(heat: DataFrame, image: Sequence[str] = IMAGE) -> DataFrame:
-    """Per image: mean, population std, min, max, cells above 0.2, 0.4 and 0.6, place of the maximum."""
+def heat_stats(heat: DataFrame, cells: int, image: Sequence[str] = IMAGE) -> DataFrame:
+    """Per image: mean, population std, min, max, cells above 0.2, 0.4 and 0.6, place of the maximum, over all ``cells`` of the grid: absent ones are 0."""
     top = F.max_by(F.struct("row", "col"), F.struct("v", (-F.col("row")).alias("r"), (-F.col("col")).alias("c")))
-    return heat.groupBy(*image).agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), *[F.count_if(F.col("v") > t).alias(f"above_{int(t * 10)}") for t in (0.2, 0.4, 0.6)], top["row"].alias("row"), top["col"].alias("col")
+    sums = heat.groupBy(*image).agg(
+        F.sum("v").alias("_s"), F.sum(F.col("v") * F.col("v")).alias("_q"), F.count("*").alias("_n"), F.min("v").alias("_least"), F.max("v").alias("max"), *[F.count_if(F.col("v") > t).alias(f"above_{int(t * 10)}") for t in (0.2, 0.4, 0.6)], top["row"].alias("row"), top["col"].alias("col")
     )
+    mean = F.col("_s") / cells
+    out = sums.withColumn("mean", mean).withColumn("std", F.sqrt(F.greatest(F.col("_q") / cells - mean * mean, F.lit(0.0)))).withColumn("min", F.when(F.col("_n") < cells, 0.0).otherwise(F.col("_least")))
+    return out.drop("_s", "_q", "_n", "_least")
 
 
 def cosine_pairs(heat: DataFrame, images: DataFrame, image: str = "image_id") -> DataFrame:

@@ -89,3 +89,10 @@ def compression_ratio(n_strands: Column, size: Column) -> Column:
 def mdl_gain(new_strands: Column, motif_edges: Column, is_new: Column, n_points: Column) -> Column:
     """What placing a motif saves: strands covered, less the motif (only when first used) and its placements."""
     return EDGE_COST * new_strands - F.when(is_new, EDGE_COST * motif_edges).otherwise(0) - PLACEMENT_COST * n_points
+
+
+def analyse_symmetry(node: DataFrame | None, edge: DataFrame, radius: int = 1, key: Sequence[str] = KEY) -> DataFrame:
+    """The most frequent window up to symmetry and its coverage, per pattern. The dots are not optional: they bound the interior."""
+    if node is None:
+        raise TypeError("symmetry needs the dots of the layout")
+    return dominant(canonical_windows(windows(node, edge, radius, key)), "canon", key)

@@ -76,3 +76,13 @@ def ends(df: DataFrame, key: Sequence[str], order: str, n: int = 5) -> DataFrame
     w = Window.partitionBy(*key)
     ranked = df.withColumn("_f", F.row_number().over(w.orderBy(order))).withColumn("_l", F.row_number().over(w.orderBy(F.desc(order))))
     return ranked.where((F.col("_f") <= n) | (F.col("_l") <= n)).drop("_f", "_l")
+
+
+def lookup(archive: DataFrame, wanted, id_col: str = "id") -> DataFrame:
+    """The row of an id, if there is one; of rows that repeat it any one."""
+    return archive.where(F.col(id_col) == wanted).limit(1)
+
+
+def featured(archive: DataFrame, ids: Sequence, id_col: str = "id") -> DataFrame:
+    """The rows of a short list of ids."""
+    return archive.where(F.col(id_col).isin(list(ids)))

@@ -148,6 +148,10 @@ def nearest_spacing(spark, d):
     return matching.dot_radius(_points(spark, d, "det"), 100.0).withColumns({c: F.round(c, 9) for c in ("spacing", "radius")})
 
 
+def symmetry_error(spark, d):
+    return matching.symmetry_errors(_trace(spark, d), ("pattern_id",)).withColumns({c: F.round(c, 6) for c in matching.SYMMETRIES})
+
+
 def fp_rate(spark, d):
     return stats.false_positive_rate(_pr(spark, d))
 
@@ -243,7 +247,7 @@ QUERIES: dict[str, Query] = {
     "agreement": lambda s, d: matching.agreement(_points(s, d, "det"), _points(s, d, "truth"), 30.0),
     "one_to_one_match": lambda s, d: matching.one_to_one(_points(s, d, "det"), _points(s, d, "truth"), 30.0),
     "nearest_spacing": nearest_spacing,
-    "symmetry_error": lambda s, d: matching.symmetry_errors(_trace(s, d), ("pattern_id",)),
+    "symmetry_error": symmetry_error,
     "fp_rate": fp_rate,
     "summary_stats": summary_stats,
     "top10_path_length": lambda s, d: stats.top(_trace(s, d).groupBy("pattern_id").agg(F.count("*").alias("n_points")), F.desc("n_points"), "pattern_id"),
@@ -255,7 +259,7 @@ QUERIES: dict[str, Query] = {
     "failure_reasons": failure_reasons,
     "dotted_classifier": dotted_classifier,
     "gaussian_heatmap": gaussian_heatmap,
-    "local_maxima": lambda s, d: heatmap.local_maxima(_heat(s, d)),
+    "local_maxima": lambda s, d: heatmap.local_maxima(_heat(s, d)).withColumn("v", F.round("v", 6)),
     "nms_peaks": lambda s, d: heatmap.peaks(_heat(s, d)),
     "description_length": description_length,
     "reconstruct": reconstruct,

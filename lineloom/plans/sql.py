@@ -143,10 +143,6 @@ ORACLE: dict[str, str] = {
     "precision_recall": build("SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END::DOUBLE AS f1 FROM pr", "pr"),
     "detector_summary": build("SELECT count(*) AS n_images, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END), 9) AS mean_f1, round(2 * avg(precision) * avg(recall) / (avg(precision) + avg(recall)), 9) AS f1_of_means FROM pr", "pr"),
     "agreement": build("SELECT image_id, n_det AS n_a, n_truth AS n_b, hit_det AS n_agree, n_det - hit_det AS a_only, n_truth - hit_det AS b_only FROM sides", "sides"),
-    "nearest_spacing": build(
-        "SELECT image_id, count(*) AS n_points, round(median(dist), 9) AS spacing, round(coalesce(CASE WHEN count(*) >= 2 THEN median(dist) * 0.3 END, 5.0), 9) AS radius FROM (SELECT d.image_id, d.idx, min(sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y))) FILTER (sqrt((d.x - t.x) * (d.x - t.x) + (d.y - t.y) * (d.y - t.y)) <= 100) AS dist FROM det d LEFT JOIN det t ON d.image_id = t.image_id AND d.idx <> t.idx GROUP BY 1, 2) GROUP BY 1",
-        "det",
-    ),
     "fp_rate": build("SELECT count(*) AS n_images, count_if(n_det > 0) AS n_false, avg((n_det > 0)::INT::DOUBLE) AS rate FROM sides", "sides"),
     "summary_stats": build("SELECT count(n) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS min, quantile_cont(n, 0.25) AS q25, quantile_cont(n, 0.5) AS q50, quantile_cont(n, 0.75) AS q75, max(n) AS max FROM (SELECT pattern_id, sum(mult)::BIGINT AS n FROM edge GROUP BY 1)", "edge"),
     "top10_path_length": build("SELECT pattern_id, count(*) AS n_points FROM trace GROUP BY 1 ORDER BY n_points DESC, pattern_id LIMIT 10", "trace"),
@@ -161,10 +157,6 @@ ORACLE: dict[str, str] = {
     "trace_ends": build("SELECT pattern_id, step, x, y FROM trace QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY step) <= 5 OR row_number() OVER (PARTITION BY pattern_id ORDER BY step DESC) <= 5", "trace"),
     "failure_reasons": build("SELECT reason, count(*) AS n_images FROM (SELECT CASE WHEN n_det = 0 THEN 'nothing_found' WHEN n_truth = 0 THEN 'no_truth' WHEN f1 < 0.5 THEN 'poor_match' WHEN n_det > 2 * n_truth THEN 'too_many' ELSE 'ok' END AS reason FROM (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pr)) GROUP BY 1", "pr"),
     "dotted_classifier": build("SELECT pattern_id, n_nodes, n_odd, n_odd / n_nodes <= 0.5 AS dotted FROM (SELECT pattern_id, count(*) AS n_nodes, count_if(degree % 2 = 1) AS n_odd FROM degree GROUP BY 1)", "degree"),
-    "gaussian_heatmap": build(
-        "SELECT image_id, r AS row, c AS col, round(max(exp(-((x / 900.0::DOUBLE * 64 - c) ** 2 + (y / 900.0::DOUBLE * 64 - r) ** 2) / (2 * 0.6::DOUBLE * 0.6::DOUBLE))), 6) AS v FROM (SELECT image_id, x, y, unnest(range(greatest(floor(x / 900.0::DOUBLE * 64)::INT - 1, 0), least(floor(x / 900.0::DOUBLE * 64)::INT + 2, 64))) AS c FROM det), LATERAL (SELECT unnest(range(greatest(floor(y / 900.0::DOUBLE * 64)::INT - 1, 0), least(floor(y / 900.0::DOUBLE * 64)::INT + 2, 64))) AS r) GROUP BY ALL",
-        "det",
-    ),
     "description_length": build(
         f"SELECT pattern_id, n_strands, size, CASE WHEN size > 0 THEN 4 * n_strands / size ELSE 0.0 END::DOUBLE AS ratio FROM (SELECT e.pattern_id, e.n_strands, (coalesce(m.cost, 0) + 4 * e.n_strands)::BIGINT AS size FROM (SELECT pattern_id, sum(mult)::BIGINT AS n_strands FROM edge GROUP BY 1) e LEFT JOIN (SELECT pattern_id, sum(4 * len(canon) + 3 * n) AS cost FROM (SELECT pattern_id, canon, count(*) AS n FROM canon WHERE len(canon) > 0 GROUP BY ALL) GROUP BY 1) m USING (pattern_id))",
         "edge", "canon",
