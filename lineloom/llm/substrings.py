@@ -275,7 +275,7 @@ def narrowed(cut_pieces: DataFrame, length: int, least: int) -> DataFrame:
     return cut_pieces.select(*GROUP, "k1", "k2", "a", "lone", "n_left", "bytes").mapInArrow(run, schema)
 
 
-def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_rows: int = 8192) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_rows: int = 1 << 16) -> DataFrame:
     """(k1, k2, lo, hi, other): byte spans that recur elsewhere, all that are maximal up to ``length`` bytes to either side of an anchor.
 
     Every string of ``least`` up to ``length`` bytes that occurs twice lies within a span. ``other`` says that the other place is in another text or in a copy.
@@ -285,19 +285,21 @@ def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_
     per_text = stored(anchors(keyed, length, least).groupBy("core", "class", *place, "n_left", "n_right").agg(F.count("*").alias("n")), "anchors")
     cores = stored(per_text.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"), "cores")
     twice = stored(per_text.join(cores, "core"), "twice")
-    text = F.struct("k1", "k2")
-    several = (F.min(text) != F.max(text)) | (F.max("n") > 1)
-    classes = stored(twice.groupBy("core", "class").agg(several.alias("done"), F.count("*").alias("n"), F.min(F.struct(*place)).alias("x")), "classes")
+    # texts and places go by hashes of theirs, so that aggregations stay in hash maps
+    the_text, the_place = F.xxhash64("k1", "k2"), F.xxhash64(*place)
+    several = (F.min(the_text) != F.max(the_text)) | (F.max("n") > 1)
+    classes = stored(twice.groupBy("core", "class").agg(several.alias("done"), F.count("*").alias("n"), F.min(the_place).alias("x")), "classes")
     lo, hi = (F.col("a") - F.col("n_left")).alias("lo"), (F.col("a") + F.col("n_right")).alias("hi")
-    more = classes.where("done or n > 1").select("core", "class", "done", F.col("x.a").alias("first"))
-    member = stored(twice.join(more, ["core", "class"]).select(*place, "n_left", "n_right", "done", "first"), "members")
+    more = classes.where("done or n > 1").select("core", "class", "done", "x")
+    member = stored(twice.join(more, ["core", "class"]).select("core", "class", *place, "n_left", "n_right", "done", (the_place == F.col("x")).alias("first")), "members")
     whole = member.select("k1", "k2", lo, hi, F.col("done").alias("other"))
     # a class in one text only sends its first place; what is found there in other texts holds at all its places
-    again = member.where("not done and a <> first").select("k1", "k2", F.col("first").alias("a"), F.col("a").alias("at"))
+    alone = member.where("not done")
+    again = alone.where("first").select("core", "class", *place).join(alone.where("not first").select("core", "class", F.col("a").alias("at")), ["core", "class"]).select(*place, "at")
     # seeds with one class have nothing left to compare; elsewhere a done class sends a piece, too, for others to be compared with
     mixed = stored(classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core"), "mixed")
     left = classes.join(mixed, "core").select("core", "class", "done", "x")
-    asked = twice.join(left, ["core", "class"]).where(F.struct(*place) == F.col("x"))
+    asked = twice.join(left, ["core", "class"]).where(the_place == F.col("x"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "core", "n_left", "n_right", (~F.col("done")).alias("lone"))).alias("asked"))
     # of the copies of a text one row is enough; the least id is taken, nulls first
     one = keyed.select("k1", "k2", "doc_id").groupBy("k1", "k2").agg(F.min(F.struct("doc_id")).alias("first"))
@@ -307,7 +309,7 @@ def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_
     level = stored(pieces(wanted).select("g", F.lit(0).alias("o1"), F.lit(least - _SEED).alias("o2"), F.lit(least).alias("width"), *place, "lone", "n_left", "bytes"), "pieces")
     out = None
     while True:
-        big = stored(level.groupBy(*GROUP).agg(F.count("*").alias("m"), (F.min(text) != F.max(text)).alias("other"), (F.min(F.struct(*place)) != F.max(F.struct(*place))).alias("twice")).where(F.col("m") > group_rows), "large")
+        big = stored(level.groupBy(*GROUP).agg(F.count("*").alias("m"), (F.min(the_text) != F.max(the_text)).alias("other"), (F.min(the_place) != F.max(the_place)).alias("twice")).where(F.col("m") > group_rows), "large")
         last = big.isEmpty()
         found = compare(level if last else level.join(big, list(GROUP), "left_anti"), least)
         out = found if out is None else out.unionByName(found)
@@ -340,7 +342,7 @@ def _whole_words(text: bytes, lo: int, hi: int) -> int:
     return max(0, n - cut_first - cut_last)
 
 
-def removed(docs: DataFrame, length: int = 400, least: int = 256, passage_words: int = 50, group_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, length: int = 400, least: int = 256, passage_words: int = 50, group_rows: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, spans (removed byte ranges, merged).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else, in the same or another row, judged on the
