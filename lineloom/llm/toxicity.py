@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.llm.common import stored
+
 #: Insults and threats by group.
 LEXICONS = {
     "intellect": "idiot idiots idiotic moron morons moronic stupid dumb imbecile dimwit halfwit fool brainless",
@@ -180,29 +182,24 @@ class Classifier:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.margin(found) - self.shift))))
 
 
-def marked(labelled: list[tuple[Example, int]], evidence: float = 25.0, purity: float = 0.9, most: int = 2000) -> list[str]:
-    """Features that labels mark as toxic: nearly only in toxic rows, by more than chance explains.
+def marked(rows: DataFrame, evidence: float = 25.0, purity: float = 0.9, most: int = 2000) -> list[str]:
+    """Features that labels mark as toxic: nearly only in toxic rows, by more than chance explains. ``rows`` is a sample with y and found.
 
     ``evidence`` is twice the log likelihood ratio against the base rate; among many rare features some are only in
-    toxic rows by chance, and they stay below it. Only what toxic rows alone could lift over it is counted in all rows.
+    toxic rows by chance, and they stay below it.
     """
-    base = min(0.5, max(1e-3, sum(y for _, y in labelled) / max(len(labelled), 1)))
-    hit = Counter(w for e, y in labelled if y for w in e.found if len(w) > 2)
-    hit = {w: c for w, c in hit.items() if -2 * c * math.log(base) >= evidence}
-    n = Counter(w for e, _ in labelled for w in hit.keys() & e.found)
-    found = []
-    for w, c in hit.items():
-        k, p = n[w], c / n[w]
-        if p >= purity:
-            g = 2 * (c * math.log(p / base) + ((k - c) * math.log((1 - p) / (1 - base)) if k > c else 0.0))
-            if g >= evidence:
-                found.append((-g, w))
-    return [w for _, w in sorted(found)[:most]]
-
-
-def fit(labelled: list[tuple[Example, int]], groups_of: int = 6) -> Classifier:
-    """The classifier from examples with their labels, 0 or 1."""
-    new = marked(labelled)
+    n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
+    base = min(0.5, max(1e-3, (toxic or 0) / max(n, 1)))
+    counts = rows.select("y", F.explode("found").alias("w")).where(F.length("w") > 2).groupBy("w").agg(F.sum("y").alias("c"), F.count("*").alias("n"))
+    p = F.col("c") / F.col("n")
+    rest = F.when(F.col("n") > F.col("c"), (F.col("n") - F.col("c")) * F.log((1 - p) / (1 - base))).otherwise(0.0)
+    g = 2 * (F.col("c") * F.log(p / base) + rest)
+    found = counts.where(F.col("c") > 0).withColumn("g", g).where((p >= purity) & (F.col("g") >= evidence))
+    return [r.w for r in found.orderBy(F.desc("g"), "w").limit(most).collect()]
+
+
+def fit(labelled: list[tuple[Example, int]], new: list[str], groups_of: int = 6) -> Classifier:
+    """The classifier from examples with their labels, 0 or 1, and the features that labels mark."""
     listed = frozenset(" ".join(LEXICONS.values()).split())
     keep = listed.union(new)
     rows, y = [keep & e.found for e, _ in labelled], [int(v) for _, v in labelled]
@@ -238,8 +235,8 @@ def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int, features: int) -> list[tuple[Example, int]]:
-    """Examples of a bounded sample of labelled rows. Whole texts are read where they lie; ``features`` bounds what each row sends."""
+def sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int, features: int) -> DataFrame:
+    """(doc_id, y, found, size, aimed): examples of a bounded sample of labelled rows. Whole texts are read where they lie; ``features`` bounds what is kept of each."""
 
     def run(batches):
         for batch in batches:
@@ -247,8 +244,7 @@ def sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int, feat
             found = pa.array([sorted(e.found) for e in told], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array([e.size for e in told], pa.int64()), pa.array([e.aimed for e in told], pa.bool_())], ["doc_id", "y", "found", "size", "aimed"])
 
-    made = labelled_texts(docs, picked(labels, held_out, rows, "toxic")).mapInArrow(run, "doc_id bigint, y int, found array<string>, size bigint, aimed boolean")
-    return [(Example(frozenset(r.found), r.size, r.aimed), r.y) for r in sorted(made.collect(), key=lambda r: r.doc_id)]
+    return stored(labelled_texts(docs, picked(labels, held_out, rows, "toxic")).mapInArrow(run, "doc_id bigint, y int, found array<string>, size bigint, aimed boolean"), "examples")
 
 
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +266,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, row_featu
     ``sample_rows`` bounds the rows, by hash of the id, and ``row_features`` the words of one row. Without labels every text is clean.
     """
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    return fit(sample(docs, labels, held, sample_rows, row_features))
+    rows = sample(docs, labels, held, sample_rows, row_features)
+    new = marked(rows)
+    # of each row only what can vote reaches the driver
+    able = F.array(*[F.lit(w) for w in sorted({*" ".join(LEXICONS.values()).split(), *new})])
+    slim = rows.select("doc_id", "y", F.array_intersect("found", able).alias("found"), "size", "aimed").collect()
+    return fit([(Example(frozenset(r.found), r.size, r.aimed), r.y) for r in sorted(slim, key=lambda r: r.doc_id)], new)
 
 
 def clean(docs: DataFrame, model: Classifier, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
