@@ -44,14 +44,14 @@ def representatives(density: DataFrame, n_col: str, tie: str, below: float = 300
     One pass finds the counts; rows get their ranks by aggregation of what is smaller, so no image's row leaves its partition for a rank.
     """
     order = F.struct(n_col, tie)
-    ends = density.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count_if(F.col(n_col) < below).alias("n_low"), F.count("*").alias("n"))
-    few = density.groupBy(n_col).agg(F.count("*").alias("m"))  # one row per density value
-    upto = few.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy(n_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.when(F.col("n_low") > 0, F.floor(F.col("n_low") / 2)).otherwise(F.floor(F.col("n") / 2))
-    at = upto.crossJoin(F.broadcast(ends)).where((F.col("before") <= place) & (place < F.col("before") + F.col("m"))).select(F.col(n_col).alias("_value"), (place - F.col("before")).alias("_skip"))
+    ends = density.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count_if(F.col(n_col) < below).alias("_n_low"), F.count("*").alias("_n"))
+    few = density.groupBy(n_col).agg(F.count("*").alias("_m"))  # one row per density value
+    upto = few.withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy(n_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.when(F.col("_n_low") > 0, F.floor(F.col("_n_low") / 2)).otherwise(F.floor(F.col("_n") / 2))
+    at = upto.crossJoin(F.broadcast(ends)).where((F.col("_before") <= place) & (place < F.col("_before") + F.col("_m"))).select(F.col(n_col).alias("_value"), (place - F.col("_before")).alias("_skip"))
     among = density.join(F.broadcast(at), F.col(n_col) == F.col("_value"))
     middle = among.withColumn("_r", F.row_number().over(Window.partitionBy("_value").orderBy(tie)) - 1).where("_r = _skip").select(tie, n_col, F.lit("middle").alias("role"))
-    edge = ends.select(F.explode(F.array(*[F.struct(F.col(c)[tie].alias(tie), F.col(c)[n_col].alias(n_col), F.lit(r).alias("role")) for c, r in (("lo", "lowest"), ("hi", "highest"))])).alias("e")).select("e.*")
+    edge = ends.select(F.explode(F.array(*[F.struct(F.col(c)[tie].alias(tie), F.col(c)[n_col].alias(n_col), F.lit(r).alias("role")) for c, r in (("_lo", "lowest"), ("_hi", "highest"))])).alias("e")).select("e.*")
     return edge.unionByName(middle).groupBy(tie, n_col).agg(F.array_join(F.array_sort(F.collect_set("role")), "+").alias("roles"))
 
 
