@@ -100,16 +100,17 @@ def index(classes: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def pairs(indexed: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b, bits): rows of an index whose fingerprints differ in 1 to ``distance`` bits, each pair once, by their ``rep``.
+    """(a, b, bits): rows of an index whose fingerprints differ in 1 to ``distance`` bits, each pair once, by their ``rep``, or by ``fp`` in an index without it.
 
     Pairs of one ``root`` are left out where the index has that column. The comparison of whole fingerprints is part of the join, so only links leave it.
     """
     l, r = (indexed.select(*[F.col(c).alias(f"{c}_{k}") for c in indexed.columns]) for k in "12")
     x = F.col("fp_1").bitwiseXOR(F.col("fp_2"))
-    near = (F.col("rep_1") < F.col("rep_2")) & (F.bit_count(x) <= distance) & _met_first(x, segments(distance), F.col("key_1"))
+    name = "rep" if "rep" in indexed.columns else "fp"
+    near = (F.col(f"{name}_1") < F.col(f"{name}_2")) & (F.bit_count(x) <= distance) & _met_first(x, segments(distance), F.col("key_1"))
     if "root" in indexed.columns:
         near = near & (F.col("root_1") != F.col("root_2"))
-    return l.join(r, (F.col("key_1") == F.col("key_2")) & near).select(F.col("rep_1").alias("a"), F.col("rep_2").alias("b"), F.bit_count(x).alias("bits"))
+    return l.join(r, (F.col("key_1") == F.col("key_2")) & near).select(F.col(f"{name}_1").alias("a"), F.col(f"{name}_2").alias("b"), F.bit_count(x).alias("bits"))
 
 
 def links(classes: DataFrame, distance: int = 4) -> DataFrame:
@@ -123,17 +124,23 @@ def links(classes: DataFrame, distance: int = 4) -> DataFrame:
 def ties(classes: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): pairs of representatives that have the components of all links, without all the links of a family.
 
-    A key's rows are never brought to one task: its least row comes from an aggregation, and joins split hot keys.
+    Under a key of two rows the pair is compared in the aggregation that finds it. Under any other, all rows are compared with the least
+    fingerprint, and then only those of different components with each other. A key's rows are never brought to one task: its least and
+    its greatest come from an aggregation, and joins split hot keys. Index rows carry fingerprints alone; representatives are looked up for the ties at the end.
     """
-    rows = index(classes.select("rep", "fp"), distance)
-    hubs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), F.min_by("fp", "rep").alias("hub_fp")).where("n > 1").drop("n")
-    met = stored(rows.join(hubs, "key"), "met")
-    spokes = met.where((F.col("rep") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= distance))
-    roots = stored(components(spokes.select(F.col("rep").alias("a"), F.col("hub").alias("b"))), "roots")
-    rooted = stored(met.select("key", "rep", "fp").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "fp", F.coalesce("component", "rep").alias("root")), "rooted")
-    several = stored(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "several")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    rows = index(classes.select("fp"), distance)
+    keys = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where((F.col("n") > 2) | ((F.col("n") == 2) & near("lo", "hi"))), "keys")
+    twos = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    met = stored(rows.join(keys.where("n > 2").select("key", "lo"), "key"), "met")
+    spokes = met.where((F.col("fp") != F.col("lo")) & near("fp", "lo")).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+    roots = stored(components(twos.union(spokes)), "roots")
+    rooted = stored(met.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("root")), "rooted")
+    several = stored(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).where("least <> greatest").select("key"), "several")
     last = pairs(stored(rooted.join(several, "key"), "open"), distance)
-    return roots.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(last.select("a", "b"))
+    found = roots.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")).union(last.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    a, b = (classes.select(F.col("fp").alias(k), F.col("rep").alias(name)) for k, name in (("x", "a"), ("y", "b")))
+    return found.join(a, "x").join(b, "y").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
