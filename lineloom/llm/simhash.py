@@ -132,12 +132,12 @@ def ties(classes: DataFrame, distance: int = 4) -> DataFrame:
     rows = index(classes.select("fp"), distance)
     keys = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where((F.col("n") > 2) | ((F.col("n") == 2) & near("lo", "hi"))), "keys")
     twos = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    met = stored(rows.join(keys.where("n > 2").select("key", "lo"), "key"), "met")
+    met = stored(rows.join(keys.where("n > 2").select("key", "lo").hint("merge"), "key"), "met")  # the keys grow with the data, so they are never broadcast
     spokes = met.where((F.col("fp") != F.col("lo")) & near("fp", "lo")).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
     roots = stored(components(twos.union(spokes)), "roots")
     rooted = stored(met.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("root")), "rooted")
     several = stored(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).where("least <> greatest").select("key"), "several")
-    last = pairs(stored(rooted.join(several, "key"), "open"), distance)
+    last = pairs(stored(rooted.join(several, "key", "left_semi"), "open"), distance)
     found = roots.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")).union(last.select(F.col("a").alias("x"), F.col("b").alias("y")))
     a, b = (classes.select(F.col("fp").alias(k), F.col("rep").alias(name)) for k, name in (("x", "a"), ("y", "b")))
     return found.join(a, "x").join(b, "y").select("a", "b")
