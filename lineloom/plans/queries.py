@@ -51,14 +51,18 @@ def _canon(spark, d):
     return motifs.canonical_windows(_window(spark, d))
 
 
-def _points(spark, d, side):
-    """Two sets of points per image from all of lineitem: places by part and supplier, and the same places moved a little."""
+def _places(spark, d, side):
+    """image_id, idx, x, y of every row of lineitem: places by part and supplier, and the same places moved a little."""
     t = spark.read.parquet(f"{d}/lineitem.parquet")
     x, y = F.col("l_partkey") * 7 % 900, F.col("l_suppkey") * 13 % 900
     if side == "truth":
         x, y = x + F.col("l_orderkey") % 41, y + F.col("l_linenumber") * 7 % 23
-    p = t.select(F.expr("l_orderkey div 40").alias("image_id"), (x * 10_000 + y).cast("bigint").alias("idx"), x.cast("double").alias("x"), y.cast("double").alias("y"))
-    return p.distinct()
+    return t.select(F.expr("l_orderkey div 40").alias("image_id"), (x * 10_000 + y).cast("bigint").alias("idx"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
+def _points(spark, d, side):
+    """Two sets of points per image."""
+    return _places(spark, d, side).distinct()
 
 
 def _pr(spark, d):
@@ -179,11 +183,11 @@ def dotted_classifier(spark, d):
 
 def _heat(spark, d):
     # a cell out of reach is over 4 cells away: exp(-16 / 0.72) < 3e-10, below the rounding
-    return heatmap.gaussian(_points(spark, d, "det"), 64, 900.0, sigma=0.6, reach=4)
+    return heatmap.Targets(_places(spark, d, "det"), 64, 900.0, sigma=0.6, reach=4)  # repeated points change no heatmap
 
 
 def gaussian_heatmap(spark, d):
-    return _heat(spark, d).withColumn("v", F.round("v", 6))
+    return _heat(spark, d).cells().withColumn("v", F.round("v", 6))
 
 
 def description_length(spark, d):
