@@ -9,8 +9,9 @@ Only distinct fingerprints take part, so exact copies (and all texts of equal sh
 contracted before pairs are made: under each variant all fingerprints are compared with the one of the least document, and after that
 only fingerprints meet that are not yet in one component.
 
-``similar_groups`` serves the pipeline, whose near copies are texts of a Jaccard similarity of 0.8 or more on sets of five words. At
-that limit a SimHash pair differs in 15 % of its bits, which no few segments with one wildcard catch, so its candidates come from MinHash bands; see the README.
+``similar_groups`` serves the pipeline, whose near copies are texts of a Jaccard similarity of 0.8 or more on sets of five words. Its families come from the same
+fingerprints and signatures; their sets are then compared whole. At a similarity of 0.8 a SimHash pair differs in 15 % of its bits, which no few segments with one
+wildcard catch, so sets that are not in one family yet meet once more in MinHash bands; see the README.
 """
 
 from __future__ import annotations
@@ -207,14 +208,19 @@ def _set_hash(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s, n, keys): size and band keys of each row's shingle set; ``s`` is a hash of the whole set, so equal sets have one."""
+    """(doc_id, fp, s, n, keys): fingerprint of each row's text, size and band keys of its shingle set; ``s`` is a hash of the whole set, so equal sets have one."""
+
+    def one(text: bytes | None):
+        found = shingle_set(text, width)
+        return fingerprint(text), _set_hash(found), len(found), band_keys(found)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t.as_py(), width) for t in batch.column(1).cast(pa.large_binary())]
-        keys = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_set_hash, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), keys], ["doc_id", "s", "n", "keys"])
+        made = [one(t.as_py()) for t in batch.column(1).cast(pa.large_binary())]
+        fp, s, n, keys = zip(*made, strict=True) if made else ([],) * 4
+        columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "s", "n", "keys"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id bigint, s bigint, n int, keys array<bigint>")
+    return _texts(docs, id_col, text_col).mapInArrow(per_batch(run), "doc_id bigint, fp bigint, s bigint, n int, keys array<bigint>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,27 +284,23 @@ def _ties_of(similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_rows: int = 1024, tile_shingles: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, linked in chains.
+def compared(docs: DataFrame, posts: DataFrame, before: DataFrame | None, width: int, similarity: float, tile_rows: int, tile_shingles: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): ties of sets that meet under a key and have a Jaccard similarity of ``similarity`` or more, with the ties from ``before``.
 
-    Candidates share a band of their MinHash signatures; every link is verified on the whole shingle sets. Documents of equal sets (all those without
-    words are such) are one node. The sets of a band are compared in tiles of bounded size: first within tiles, which ties most
-    of a large family together, then across tiles only those that are not in their band's largest component. Bands with the same sets are one. Rows with a null
-    id are left out; rows that repeat an id are one node; an empty table gives an empty result; other columns are not read.
+    ``posts`` has key, s, n, rep and root, the component by ``before``. Keys whose sets are all in one component are left alone. The sets of a key are compared in tiles
+    of bounded size: first within tiles, which ties most of a large family together, then across tiles only those that are not in their key's largest component. Keys with the same sets are one.
     """
-    found = stored(signatures(docs, width, id_col, text_col), "signatures")
-    classes = stored(found.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    posts = classes.select("s", "n", F.explode("keys").alias("key"))
-    bands = posts.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y")).where("m > 1")
+    keys = posts.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     tiles = F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("size") / tile_shingles)).cast("int")
-    lists = stored(bands.groupBy("m", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "m", tiles.alias("tiles")), "bands")
-    met = stored(posts.join(lists, "key").select("key", "m", "tiles", "s"), "met")
-    sets = stored(whole_sets(docs, met.select("s").distinct().join(classes, "s").select("rep", "s"), width, id_col, text_col), "sets")
+    lists = stored(keys.groupBy("m", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "m", tiles.alias("tiles")), "bands")
+    met = stored(posts.join(lists, "key").select("key", "m", "tiles", "s", "rep", "root"), "met")
+    sets = stored(whole_sets(docs, met.select("rep", "s").distinct(), width, id_col, text_col), "sets")
     schema = "a bigint, b bigint"
     part = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
-    inside = met.select("key", "s", part.alias("tile"), F.col("s").alias("root"), F.lit(0).alias("side")).join(sets, "s")
-    ties_ = stored(inside.groupBy("key", "tile").applyInArrow(_ties_of(similarity), schema), "ties")
-    large = met.where("tiles > 1")
+    inside = met.select("key", "s", part.alias("tile"), "root", F.lit(0).alias("side")).join(sets, "s")
+    found = inside.groupBy("key", "tile").applyInArrow(_ties_of(similarity), schema)
+    ties_ = stored(found if before is None else found.union(before), "ties")
+    large = met.where("tiles > 1").drop("root")
     if not large.isEmpty():
         chained = stored(components(ties_), "chained")
         rooted = stored(large.join(chained, F.col("s") == F.col("node"), "left").select("key", "m", "tiles", "s", F.coalesce("component", "s").alias("root")), "rooted")
@@ -310,6 +312,27 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
         both = lone.select("key", "i", "j", "s", "root", F.lit(0).alias("side")).union(any_.select("key", "i", "j", "s", "root", F.lit(1).alias("side"))).join(sets, "s")
         across = both.groupBy("key", "i", "j").applyInArrow(_ties_of(similarity), schema)
         ties_ = stored(ties_.union(across).where("a <> b"), "ties")
+    return ties_
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_rows: int = 512, tile_shingles: int = 1 << 18, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more, linked in chains.
+
+    Families are the components of fingerprints at ``distance`` or fewer differing bits, by deletion-variant signatures (``ties``). Sets that the check of families leaves
+    apart meet again where they share a band of their MinHash signatures. Every link is verified on the whole shingle sets. Documents of equal sets (all those without
+    words are such) are one node. Rows with a null
+    id are left out; rows that repeat an id are one node; an empty table gives an empty result; other columns are not read.
+    """
+    limits = (width, similarity, tile_rows, tile_shingles, id_col, text_col)
+    found = stored(signatures(docs, width, id_col, text_col), "signatures")
+    classes = stored(found.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+    prints = stored(classes.select("fp").distinct().select("fp", F.col("fp").alias("rep")), "prints")
+    families = stored(components(ties(prints, distance)), "families")
+    family = classes.join(families, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("key"), "s", "n", "rep", F.col("s").alias("root"))
+    tied = compared(docs, family, None, *limits)
+    roots = stored(components(tied), "rooted")
+    posts = classes.join(roots, F.col("s") == F.col("node"), "left").select(F.explode("keys").alias("key"), "s", "n", "rep", F.coalesce("component", "s").alias("root"))
+    ties_ = compared(docs, posts, tied, *limits)
     ids = found.groupBy("doc_id").agg(F.min("s").alias("a"), F.max("s").alias("top")).where("a <> top").select("doc_id", "a")
     same_id = found.join(ids, "doc_id").where("s <> a").select("a", F.col("s").alias("b"))
     tied = stored(components(ties_.union(same_id)), "tied")

@@ -192,3 +192,18 @@ def test_deduplicate_keeps_rows_that_repeat_an_id(documents):
     rows = [(2, text), (1, text), (1, text + " end"), (None, text), (5, "other words"), (5, "other words")]
     kept = simhash.deduplicate(documents(rows, extra=True)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, text), (1, text + " end"), (0, text), (5, "other words"), (5, "other words")])
+
+
+def test_pipeline_families_come_from_signatures(documents, monkeypatch):
+    """Near copies of one fingerprint family are linked without any MinHash band, and a family by chance of one line is parted by the sets."""
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: np.zeros(0, np.int64))
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    near = [*base[:-1], "changed"]
+    line = "the same line of words comes again and again until it ends here"
+    own = lambda k: f"{' '.join([line] * 400)} {' '.join(f'x{k}y{i}' for i in range(90))}"
+    rows = [(5, " ".join(base)), (9, " ".join(near)), (20, own(1)), (21, own(2))]
+    a, b, c, d = (simhash.fingerprint(t.encode()) for _, t in rows)
+    assert (a ^ b).bit_count() <= 4 and (c ^ d).bit_count() <= 4
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
+    assert got == {5: 5, 9: 5, 20: 20, 21: 21}
