@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import components, per_batch, stored
+from lineloom.llm.common import components, per_batch, scratch, sieved, sifted, stored
 
 BITS = 64
 #: Hashes are taken and counted in blocks of so many shingles, which bounds memory on very long texts.
@@ -130,18 +130,20 @@ def ties(classes: DataFrame, distance: int = 4) -> DataFrame:
     its greatest come from an aggregation, and joins split hot keys. Index rows carry fingerprints alone; representatives are looked up for the ties at the end.
     """
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    rows = index(classes.select("fp"), distance)
-    keys = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where((F.col("n") > 2) | ((F.col("n") == 2) & near("lo", "hi"))), "keys")
-    twos = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    met = stored(rows.join(keys.where("n > 2").select("key", "lo").hint("merge"), "key"), "met")  # the keys grow with the data, so they are never broadcast
-    spokes = met.where((F.col("fp") != F.col("lo")) & near("fp", "lo")).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
-    roots = stored(components(twos.union(spokes)), "roots")
-    rooted = stored(met.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("root")), "rooted")
-    several = stored(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).where("least <> greatest").select("key"), "several")
-    last = pairs(stored(rooted.join(several, "key", "left_semi"), "open"), distance)
-    found = roots.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")).union(last.select(F.col("a").alias("x"), F.col("b").alias("y")))
-    a, b = (classes.select(F.col("fp").alias(k), F.col("rep").alias(name)) for k, name in (("x", "a"), ("y", "b")))
-    return found.join(a, "x").join(b, "y").select("a", "b")
+    with scratch(classes.sparkSession) as kept:
+        rows = index(classes.select("fp"), distance)
+        keys = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where((F.col("n") > 2) | ((F.col("n") == 2) & near("lo", "hi"))), "keys")
+        twos = keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+        many = keys.where("n > 2").select("key", "lo")
+        met = stored(sifted(rows, "key", many.select("key")).join(many.hint("merge"), "key"), "met")  # the keys grow with the data, so they are never broadcast
+        spokes = met.where((F.col("fp") != F.col("lo")) & near("fp", "lo")).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
+        roots = stored(components(twos.union(spokes)), "roots")
+        rooted = stored(met.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("root")), "rooted")
+        several = stored(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).where("least <> greatest").select("key"), "several")
+        last = pairs(stored(rooted.join(several, "key", "left_semi"), "open"), distance)
+        found = roots.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")).union(last.select(F.col("a").alias("x"), F.col("b").alias("y")))
+        a, b = (classes.select(F.col("fp").alias(k), F.col("rep").alias(name)) for k, name in (("x", "a"), ("y", "b")))
+        return kept(found.join(a, "x").join(b, "y").select("a", "b"), "ties")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +233,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int = 5, id_col: str =
         mine = [i for i, (h, s) in enumerate(zip(sets, batch.column(1).to_pylist(), strict=True)) if _set_hash(h) == s]  # an id may repeat with another text
         return pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(mine, pa.int64())), pa.array([sets[i].view(np.int64) for i in mine], pa.list_(pa.int64()))], ["s", "hashes"])
 
-    of = _texts(docs, id_col, text_col).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "s")
+    of = sifted(_texts(docs, id_col, text_col), "doc_id", wanted.select("rep")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "s")
     return of.mapInArrow(per_batch(run), "s bigint, hashes array<bigint>").groupBy("s").agg(F.first("hashes").alias("hashes"))
 
 
@@ -290,29 +292,31 @@ def compared(docs: DataFrame, posts: DataFrame, before: DataFrame | None, width:
     ``posts`` has key, s, n, rep and root, the component by ``before``. Keys whose sets are all in one component are left alone. The sets of a key are compared in tiles
     of bounded size: first within tiles, which ties most of a large family together, then across tiles only those that are not in their key's largest component. Keys with the same sets are one.
     """
-    keys = posts.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    tiles = F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("size") / tile_shingles)).cast("int")
-    lists = stored(keys.groupBy("m", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "m", tiles.alias("tiles")), "bands")
-    met = stored(posts.join(lists, "key").select("key", "m", "tiles", "s", "rep", "root"), "met")
-    sets = stored(whole_sets(docs, met.select("rep", "s").distinct(), width, id_col, text_col), "sets")
-    schema = "a bigint, b bigint"
-    part = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
-    inside = met.select("key", "s", part.alias("tile"), "root", F.lit(0).alias("side")).join(sets, "s")
-    found = inside.groupBy("key", "tile").applyInArrow(_ties_of(similarity), schema)
-    ties_ = stored(found if before is None else found.union(before), "ties")
-    large = met.where("tiles > 1").drop("root")
-    if not large.isEmpty():
-        chained = stored(components(ties_), "chained")
-        rooted = stored(large.join(chained, F.col("s") == F.col("node"), "left").select("key", "m", "tiles", "s", F.coalesce("component", "s").alias("root")), "rooted")
-        most = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("t"))
-        most = stored(most.select("key", F.col("t.root").alias("main"), F.col("t.n").alias("n_main")), "most")
-        all_ = stored(rooted.join(most, "key").withColumn("others", F.ceil((F.col("m") - F.col("n_main")) * F.col("tiles") / F.col("m")).cast("int")).where("others > 0"), "across")
-        lone = all_.where("root <> main").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "s"), F.col("others")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        any_ = all_.withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-        both = lone.select("key", "i", "j", "s", "root", F.lit(0).alias("side")).union(any_.select("key", "i", "j", "s", "root", F.lit(1).alias("side"))).join(sets, "s")
-        across = both.groupBy("key", "i", "j").applyInArrow(_ties_of(similarity), schema)
-        ties_ = stored(ties_.union(across).where("a <> b"), "ties")
-    return ties_
+    with scratch(docs.sparkSession) as kept:
+        keys = posts.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        tiles = F.greatest(F.ceil(F.col("m") / tile_rows), F.ceil(F.col("size") / tile_shingles)).cast("int")
+        lists = stored(keys.groupBy("m", "size", "x", "y").agg(F.min("key").alias("key")).select("key", "m", tiles.alias("tiles")), "bands")
+        met = stored(sifted(posts, "key", lists.select("key")).join(lists, "key").select("key", "m", "tiles", "s", "rep", "root"), "met")
+        wanted = stored(met.select("rep", "s").distinct(), "wanted")
+        sets = stored(whole_sets(docs, wanted, width, id_col, text_col), "sets")
+        schema = "a bigint, b bigint"
+        part = F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int")
+        inside = met.select("key", "s", part.alias("tile"), "root", F.lit(0).alias("side")).join(sets, "s")
+        found = inside.groupBy("key", "tile").applyInArrow(_ties_of(similarity), schema)
+        ties_ = stored(found if before is None else found.union(before), "ties")
+        large = met.where("tiles > 1").drop("root")
+        if not large.isEmpty():
+            chained = stored(components(ties_), "chained")
+            rooted = stored(large.join(chained, F.col("s") == F.col("node"), "left").select("key", "m", "tiles", "s", F.coalesce("component", "s").alias("root")), "rooted")
+            most = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("t"))
+            most = stored(most.select("key", F.col("t.root").alias("main"), F.col("t.n").alias("n_main")), "most")
+            all_ = stored(rooted.join(most, "key").withColumn("others", F.ceil((F.col("m") - F.col("n_main")) * F.col("tiles") / F.col("m")).cast("int")).where("others > 0"), "across")
+            lone = all_.where("root <> main").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "s"), F.col("others")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            any_ = all_.withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+            both = lone.select("key", "i", "j", "s", "root", F.lit(0).alias("side")).union(any_.select("key", "i", "j", "s", "root", F.lit(1).alias("side"))).join(sets, "s")
+            across = both.groupBy("key", "i", "j").applyInArrow(_ties_of(similarity), schema)
+            ties_ = stored(ties_.union(across).where("a <> b"), "ties")
+        return kept(ties_, "ties")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile_rows: int = 512, tile_shingles: int = 1 << 18, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,22 +328,25 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, til
     id are left out; rows that repeat an id are one node; an empty table gives an empty result; other columns are not read.
     """
     limits = (width, similarity, tile_rows, tile_shingles, id_col, text_col)
-    found = stored(signatures(docs, width, id_col, text_col), "signatures")
-    classes = stored(found.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
-    prints = stored(classes.select("fp").distinct().select("fp", F.col("fp").alias("rep")), "prints")
-    families = stored(components(ties(prints, distance)), "families")
-    family = classes.join(families, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("key"), "s", "n", "rep", F.col("s").alias("root"))
-    tied = compared(docs, family, None, *limits)
-    roots = stored(components(tied), "rooted")
-    posts = classes.join(roots, F.col("s") == F.col("node"), "left").select(F.explode("keys").alias("key"), "s", "n", "rep", F.coalesce("component", "s").alias("root"))
-    ties_ = compared(docs, posts, tied, *limits)
-    ids = found.groupBy("doc_id").agg(F.min("s").alias("a"), F.max("s").alias("top")).where("a <> top").select("doc_id", "a")
-    same_id = found.join(ids, "doc_id").where("s <> a").select("a", F.col("s").alias("b"))
-    tied = stored(components(ties_.union(same_id)), "tied")
-    whole = stored(classes.select("s", "rep").join(tied.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")), "whole")
-    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    roots = stored(whole.join(least, "component").select("s", "component_id"), "sets_roots")
-    return found.select("doc_id", "s").join(roots, "s").select("doc_id", "component_id")
+    with scratch(docs.sparkSession) as kept:
+        with scratch(docs.sparkSession) as passed:  # tables with band keys go as soon as the next one is there
+            made = stored(signatures(docs, width, id_col, text_col), "signatures")
+            found = passed(made.select("doc_id", "s"), "found")
+            classes = stored(made.groupBy("s").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+            prints = stored(classes.select("fp").distinct().select("fp", F.col("fp").alias("rep")), "prints")
+            families = stored(components(ties(prints, distance)), "families")
+            family = classes.join(families, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("key"), "s", "n", "rep", F.col("s").alias("root"))
+            tied = passed(compared(docs, family, None, *limits), "tied")
+            roots = stored(components(tied), "roots")
+            classes = passed(classes.join(roots, F.col("s") == F.col("node"), "left").select("keys", "s", "n", "rep", F.coalesce("component", "s").alias("root")), "rooted")
+        ties_ = compared(docs, classes.select(F.explode("keys").alias("key"), "s", "n", "rep", "root"), tied, *limits)
+        ids = found.groupBy("doc_id").agg(F.min("s").alias("a"), F.max("s").alias("top")).where("a <> top").select("doc_id", "a")
+        same_id = found.join(ids, "doc_id").where("s <> a").select("a", F.col("s").alias("b"))
+        tied = stored(components(ties_.union(same_id)), "tied")
+        whole = stored(classes.select("s", "rep").join(tied.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")), "whole")
+        least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+        roots = whole.join(least, "component").select("s", "component_id")
+        return kept(found.join(roots, "s").select("doc_id", "component_id"), "groups")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -348,7 +355,9 @@ def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     Null and blank texts are one group. Rows with a null doc_id are in no group and stay. Of rows that repeat a kept doc_id, all stay. An
     empty table gives an empty result.
     """
-    found = stored(similar_groups(docs, width, similarity), "groups")
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    # ids that go grow with the documents, so they are never broadcast, however few they are
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    with scratch(docs.sparkSession) as kept:
+        found = similar_groups(docs, width, similarity)
+        gone = kept(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # ids that go grow with the documents, so they are never broadcast; a sieve of them spares the texts of the others the shuffle
+    told = sieved(docs, "doc_id", gone, "_gone")
+    return told.where("not _gone").drop("_gone").union(told.where("_gone").drop("_gone").join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns))

@@ -1,10 +1,11 @@
+import os
 import random
 
 import numpy as np
 import pytest
 import xxhash
 
-from lineloom.llm import simhash
+from lineloom.llm import common, simhash
 
 
 def brute(text, width=4):
@@ -207,3 +208,33 @@ def test_pipeline_families_come_from_signatures(documents, monkeypatch):
     assert (a ^ b).bit_count() <= 4 and (c ^ d).bit_count() <= 4
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(rows)).collect()}
     assert got == {5: 5, 9: 5, 20: 20, 21: 21}
+
+
+def test_sieve_flags_all_keys_and_few_others(spark, monkeypatch):
+    keys = spark.range(0, 9000, 3).selectExpr("id * 7919 - 5000000 as k")
+    rows = spark.range(0, 9000).selectExpr("cast(id * 7919 - 5000000 as bigint) as x", "id % 3 = 0 as y", "'a' as `_b.c`").unionByName(spark.sql("select cast(null as bigint) as x, false as y, 'a' as `_b.c`"))
+    told = common.sieved(rows, "x", keys, "hit")
+    assert told.columns == [*rows.columns, "hit"]
+    got = told.groupBy("y", "hit").count().collect()
+    count = {(r.y, r.hit): r["count"] for r in got}
+    assert (True, False) not in count and count[True, True] == 3000
+    assert count.get((False, True), 0) < 30 and sum(count.values()) == 9001
+    # a sieve that is full flags more, never less
+    monkeypatch.setattr(common, "_SLOTS", 2)
+    assert common.sifted(rows, "x", keys).where("y").count() == 3000
+
+
+def test_near_duplicates_leave_no_scratch_and_shuffle_few_texts(spark, documents, tmp_path):
+    """All tables made on the way are gone with the call, and texts of documents without a copy are not shuffled."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for k in range(200)] + [(900, "one copy of five words"), (901, "one copy of five words")]
+    documents(rows).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    where = common.shared_dir(spark).removeprefix("file://")
+    before = {p for p in os.listdir(where) if p.startswith("lineloom-")}
+    kept = simhash.deduplicate(docs)
+    left = {p for p in os.listdir(where) if p.startswith("lineloom-")} - before
+    assert [p.split("-")[1] for p in left] == ["gone"]
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {901}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "BroadcastHashJoin" in plan
