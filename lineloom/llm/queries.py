@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineloom.llm import decontaminate, embeddings, mixing, pii, quality, secrets, simhash, substrings, toxicity, urls
-from lineloom.llm.common import crc32_of_id, table
+from lineloom.llm.common import crc32_of_id, stored, table
 from lineloom.llm.sql import ORACLE
 
 
@@ -44,8 +44,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    made = stored(quality.described(table(spark, sf_dir, "documents")), "described")
+    scored = quality.scored(made, quality.train(made, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (crc32_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

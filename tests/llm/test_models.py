@@ -124,3 +124,41 @@ def test_toxicity_scores_match_plain_loops(spark, documents):
 
     assert got == sorted((i, round(plain(t), 9)) for i, t in rows)
     assert toxicity.example("a " * 10 + "b c", most=2).size == 3 and len(toxicity.example("aa bb cc dd", most=2).found) == 2
+
+
+def test_quality_counts_every_pair():
+    """The weights are those of the logistic loss over all pairs of a good and a bad row, by plain sums over the pairs."""
+    rng = np.random.default_rng(6)
+    n, m = 400, len(quality.NAMES)
+    y = (rng.random(n) < 0.6).astype(int)
+    x = np.clip(rng.random((n, m)) * 0.8 + 0.1 * y[:, None] * (np.arange(m) % 3 == 0), 0, 1)
+    held_back = np.arange(n) % 4 == 0
+
+    def total(fn):
+        return sum(np.asarray(fn(x[k : k + 150], y[k : k + 150], held_back[k : k + 150]), float) for k in range(0, n, 150))
+
+    model = quality.Ranker(total)
+    z = quality.expand(x[~held_back], model.knots)
+    scale = z.std(0) + 1e-6
+    good, bad = (z[y[~held_back] == k] / scale for k in (1, 0))
+    w = model.weights * scale
+    d = (good[:, None, :] - bad[None, :, :]).reshape(-1, 5 * m)
+    loss = np.logaddexp(0, -(d @ w)).mean() + 0.5e-3 * w @ w
+    slope = -(d.T @ (1 / (1 + np.exp(d @ w)))) / len(d) + 1e-3 * w
+    assert len(d) == model.n_good * model.n_bad
+    assert abs(loss - model.loss) < 1e-3 and np.abs(slope).max() < 2e-3
+    # the cut is the score at the quantile of all rows, to a thousandth
+    at = model.shift + math.log(0.3 / 0.7)
+    raw = model.raw(x)
+    assert (raw < at - 2e-3).mean() - 1 / n <= model.quantile <= (raw < at + 2e-3).mean() + 1 / n
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """5600 labelled rows, over the 4000 that were once drawn: all outside the held-out fifth are pairs or held back, each label of two kinds left out."""
+    n = 5600
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word ', id, if(id % 3 = 0, ' ###', ' ends.')) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 3 <> 0 as int) as quality").union(spark.sql("select 7L, 0"))
+    model = quality.train(docs, labels)
+    mine = [i for i in range(n) if held(i, 5) and i != 7]
+    assert model.rows == len(mine)
+    assert 0.6 * len(mine) < model.n_good + model.n_bad < 0.9 * len(mine)
