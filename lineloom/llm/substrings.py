@@ -2,8 +2,8 @@
 
 A full suffix array of a corpus has a row per byte. This one is sparse: of all the k-byte seeds in a window of ``least`` bytes
 the lowest by hash is the window's anchor, so equal windows have their anchor at the same place, and any repeat of
-``least`` or more bytes holds an anchor that all its occurrences share. Around an anchor only its surroundings up to ``length`` bytes to
-either side matter. They go through these steps:
+``least`` or more bytes holds an anchor that all its occurrences share. An anchor answers for the windows whose anchor it is, and for the strings of ``length``
+bytes that start with them, so only its surroundings from the start of the first to the end of the last matter. They go through these steps:
 
 1. anchors whose seed occurs once are done: no window with them repeats;
 2. anchors with equal surroundings in several texts are done: all of the surroundings repeats;
@@ -15,7 +15,8 @@ either side matter. They go through these steps:
 
 A group that is too large for one task is split as a suffix array's bucket is, by more of the shared text: its members meet by the
 part that windows of a narrower range of places share, until groups are small or share whole windows, whose
-bytes then repeat without a look at them. Texts are known by two 64-bit hashes of their content, so copies of a text share their rows.
+bytes then repeat without a look at them. A piece goes only where it has windows of its own: in text of a short period (a word again and again),
+whose groups are the largest, an anchor answers for as many windows as the period has bytes, so its piece is not multiplied by all places of a window. Texts are known by two 64-bit hashes of their content, so copies of a text share their rows.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _STEP = 0x9E3779B97F4A7C15
 _SEED = 32  # bytes of a seed; a power of two
 _PLACE = 26  # low bits of a packed hash that hold the place
-#: So many windows of a text are looked at together, which bounds memory on very long texts.
-_CHUNK = 1 << 20
+#: So many windows are looked at together, which bounds memory and stays in the processor's cache.
+_CHUNK = 1 << 15
 
 
 def _seeds(a: np.ndarray) -> np.ndarray:
@@ -51,25 +52,44 @@ def _seeds(a: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(text: bytes, length: int) -> list[tuple[int, int, int, int]]:
-    """(first window, last window, anchor, seed hash) of each run of windows that have one anchor."""
-    out, n_windows, width = [], len(text) - length + 1, length - _SEED + 1
-    a = np.frombuffer(text, np.uint8)
+def _lowest(p: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values that follow one another, by doubling."""
+    span = 1
+    while span * 2 <= width:
+        p = np.minimum(p[:-span], p[span:])
+        span *= 2
+    return np.minimum(p[: len(p) - width + span], p[width - span :])
+
+
+def _runs(a: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first windows, last windows, anchors, seed hashes) of the runs of windows that have one anchor. Texts stand one after another in ``a``, up to ``ends``; no window crosses an end."""
+    n_windows, width = len(a) - length + 1, length - _SEED + 1
+    starts = np.r_[0, ends[:-1]]
+    long = ends - starts >= length
+    # before and after the windows that lie in a text
+    breaks = np.unique(np.r_[starts[long], ends[long] - length + 1])
+    parts = [(np.empty(0, np.int64),) * 4]
     for at in range(0, n_windows, _CHUNK):
         count = min(_CHUNK, n_windows - at)
         h = _seeds(a[at : at + count + length - 1])
         p = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(h), dtype=np.uint64)
-        full = np.full(-(-len(p) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-        full[: len(p)] = p
-        block = full.reshape(-1, width)
-        before = np.minimum.accumulate(block, axis=1).ravel()
-        after = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = (np.minimum(after[:count], before[width - 1 : width - 1 + count]) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        last = np.r_[first[1:], count] - 1
-        anchor = least[first]
-        out += zip((first + at).tolist(), (last + at).tolist(), (anchor + at).tolist(), h[anchor].view(np.int64).tolist(), strict=True)
-    return out
+        least = (_lowest(p, width) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+        new = np.r_[True, least[1:] != least[:-1]]
+        new[breaks[np.searchsorted(breaks, at) : np.searchsorted(breaks, at + count)] - at] = True
+        first = np.flatnonzero(new)
+        parts.append((first + at, np.r_[first[1:], count] - 1 + at, least[first] + at, h[least[first]].view(np.int64)))
+    first, last, anchor, core = (np.concatenate(x) for x in zip(*parts, strict=True))
+    inside = first + length <= ends[np.minimum(np.searchsorted(ends, first, "right"), len(ends) - 1)] if len(first) else np.zeros(0, bool)
+    first, last, anchor, core = first[inside], last[inside], anchor[inside], core[inside]
+    # chunks part runs
+    whole = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)])
+    return first[whole], last[np.r_[whole[1:], len(last)] - 1] if len(whole) else last, anchor[whole], core[whole]
+
+
+def runs(text: bytes, length: int) -> list[tuple[int, int, int, int]]:
+    """(first window, last window, anchor, seed hash) of each run of windows of a text that have one anchor."""
+    found = _runs(np.frombuffer(text, np.uint8), np.array([len(text)]), length)
+    return list(zip(*(x.tolist() for x in found), strict=True))
 
 
 def _signed(x: int) -> int:
@@ -83,25 +103,32 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text", F.length("text")))
 
 
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where the values of a column without nulls begin and end, one more than there are, and the bytes they are in."""
+    column = column.cast(pa.large_binary())
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return at, memoryview(data if data is not None else b"")
+
+
 def anchors(keyed: DataFrame, length: int, least: int) -> DataFrame:
-    """(k1, k2, a, n_left, n_right, core, class): every text's anchors, how far their surroundings go, hashes of seed and surroundings."""
+    """(k1, k2, a, n_left, n_right, core, class): every text's anchors, how far their surroundings go, hashes of seed and surroundings.
+
+    ``n_right`` is how far they would go if the text were long enough, which tells where the last window of an anchor starts: ``length`` bytes before.
+    """
 
     def run(batches):
         for batch in batches:
-            k1, k2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = [[] for _ in range(7)]
-            for row, t in enumerate(batch.column(0).cast(pa.large_binary())):
-                text = t.as_py()
-                if len(text) < least:
-                    continue
-                found = {a: core for _, _, a, core in runs(text, least)}
-                left = [min(a, length) for a in found]
-                right = [min(len(text) - a, length) for a in found]
-                whole = [_signed(xxhash.xxh3_64_intdigest(text[a - x : a + y], x)) for a, x, y in zip(found, left, right, strict=True)]
-                for column, values in zip(out, ([k1[row]] * len(found), [k2[row]] * len(found), found, left, right, found.values(), whole), strict=True):
-                    column.extend(values)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["k1", "k2", "a", "n_left", "n_right", "core", "class"])
+            at, data = _bytes_of(batch.column(0))
+            k1, k2 = (batch.column(c).to_numpy() for c in (1, 2))
+            a = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+            first, last, anchor, core = _runs(a, at[1:] - at[0], least)
+            row = np.searchsorted(at[1:] - at[0], first, "right")
+            left, start = anchor - first, first + at[0]
+            stop = np.minimum(start + (last - first) + length, at[row + 1])
+            whole = [xxhash.xxh3_64_intdigest(data[x:y], n) for x, y, n in zip(start.tolist(), stop.tolist(), left.tolist(), strict=True)]
+            columns = (k1[row], k2[row], (anchor + at[0] - at[row]).astype(np.int32), left.astype(np.int16), (last + length - anchor).astype(np.int16), core, np.array(whole, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "a", "n_left", "n_right", "core", "class"])
 
     if length >= 1 << 15:
         raise ValueError("length must be below 32768")
@@ -131,18 +158,35 @@ def intervals(sorted_parts: list[bytes]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _elsewhere(extent: list[int], owner: list) -> list[int]:
+def _elsewhere(extent: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each of a sorted row of parts, its longest common prefix with a part of another owner; ``extent`` is between neighbours."""
-    n = len(owner)
-    out, near = [0] * n, 0
-    for i in range(1, n):
-        near = extent[i - 1] if owner[i - 1] != owner[i] else min(extent[i - 1], near)
-        out[i] = near
-    near = 0
-    for i in range(n - 2, -1, -1):
-        near = extent[i] if owner[i + 1] != owner[i] else min(extent[i], near)
-        out[i] = max(out[i], near)
-    return out
+    change = owner[1:] != owner[:-1]
+
+    def one_way(extent, change):
+        # the least so far, anew for each run of one owner: later runs are set lower
+        at = np.r_[0, np.cumsum(change)]
+        near = np.minimum.accumulate(np.r_[0, np.where(at[1:] > 0, extent, 0)] - (at << 32)) + (at << 32)
+        return near
+
+    return np.maximum(one_way(extent, change), one_way(extent[::-1], change[::-1])[::-1])
+
+
+class _Least:
+    """The least of any stretch of values, from the least of all stretches of 1, 2, 4 and so on."""
+
+    def __init__(self, values: np.ndarray):
+        self.rows = [values]
+        while 1 << len(self.rows) <= len(values):
+            half = 1 << len(self.rows) - 1
+            self.rows.append(np.minimum(self.rows[-1][:-half], self.rows[-1][half:]))
+        self.at = np.cumsum([0, *map(len, self.rows)])
+        self.flat = np.concatenate(self.rows)
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of values[lo:hi], none of them empty."""
+        k = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        at = self.at[k]
+        return np.minimum(self.flat[at + lo], self.flat[at + hi - (1 << k)])
 
 
 def repeated(left: list[bytes], right: list[bytes], width: int, owner: list | None = None) -> list[list[tuple[int, int, bool]]]:
@@ -159,21 +203,23 @@ def repeated(left: list[bytes], right: list[bytes], width: int, owner: list | No
     rank = np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
     in_order, longest = rank[order], max(map(len, left), default=0)
-    who = None if owner is None or len(set(owner)) == n else [owner[x] for x in by_left]
+    least = _Least(along)
+    number = {x: i for i, x in enumerate(dict.fromkeys(owner))} if owner is not None else {}
+    who = None if len(number) in (0, n) else np.array([number[owner[x]] for x in by_left])
     # by rank: the longest left extent so far; deeper intervals come first, so a shorter or equal one lies within a longer entry
     known = {True: np.full(n, -1), False: np.full(n, -1)}
     for depth, first, last in intervals([right[x] for x in order]):
         if last == first or depth + longest < width:
             continue
         members = np.sort(in_order[first : last + 1])
-        extent = np.minimum.reduceat(along[: members[-1]], members[:-1])  # left extension, neighbour by neighbour
+        extent = least.between(members[:-1], members[1:])  # left extension, neighbour by neighbour
         best = np.r_[extent, 0]
         best[1:] = np.maximum(best[1:], extent)
         if who is None:
             other = best
         else:
-            of = [who[k] for k in members]
-            other = np.array(_elsewhere(extent.tolist(), of)) if len(set(of)) > 1 else np.full(len(best), -1)
+            of = who[members]
+            other = _elsewhere(extent, of) if (of != of[0]).any() else np.full(len(best), -1)
         for is_other, reach in ((True, other), (False, best)):
             fresh = (reach > known[is_other][members]) & (depth + reach >= width)
             for k, x in zip(members[fresh].tolist(), reach[fresh].tolist(), strict=True):
@@ -183,23 +229,24 @@ def repeated(left: list[bytes], right: list[bytes], width: int, owner: list | No
     return out
 
 
-def pieces(wanted: DataFrame) -> DataFrame:
-    """(g, k1, k2, a, lone, n_left, bytes): the surroundings of wanted anchors; ``g`` is the seed's hash."""
+def pieces(wanted: DataFrame, length: int) -> DataFrame:
+    """(g, k1, k2, a, lone, n_left, low, bytes): the surroundings of wanted anchors; ``g`` is the seed's hash, ``low`` how far left of the anchor its last window starts."""
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(7)]
-            k1, k2, asked = (batch.column(c).to_pylist() for c in (1, 2, 3))
-            for row, t in enumerate(batch.column(0).cast(pa.large_binary())):
-                text = t.as_py()
-                for r in asked[row]:
-                    around = text[r["a"] - r["n_left"] : r["a"] + r["n_right"]]
-                    for column, value in zip(out, (r["core"], k1[row], k2[row], r["a"], r["lone"], r["n_left"], around), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["g", "k1", "k2", "a", "lone", "n_left", "bytes"])
+            at, data = _bytes_of(batch.column(0))
+            asked = batch.column(3)
+            row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+            core, a, left, right, lone = (asked.flatten().field(c) for c in ("core", "a", "n_left", "n_right", "lone"))
+            place, n_left, n_right = (x.to_numpy().astype(np.int64) for x in (a, left, right))
+            start, stop = at[row] + place - n_left, np.minimum(at[row] + place + n_right, at[row + 1])
+            around = pa.array([bytes(data[x:y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary())
+            k1, k2 = (batch.column(c).take(pa.array(row)) for c in (1, 2))
+            low = pa.array((length - n_right).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([core, k1, k2, a, lone, left.cast(pa.int32()), low, around], ["g", "k1", "k2", "a", "lone", "n_left", "low", "bytes"])
 
-    return wanted.select("text", "k1", "k2", "asked").mapInArrow(run, "g bigint, k1 bigint, k2 bigint, a int, lone boolean, n_left int, bytes binary")
+    schema = "g bigint, k1 bigint, k2 bigint, a int, lone boolean, n_left int, low int, bytes binary"
+    return wanted.select("text", "k1", "k2", F.col("asked").cast("array<struct<a:int,core:bigint,n_left:int,n_right:int,lone:boolean>>").alias("asked")).mapInArrow(run, schema)
 
 
 #: What tells a group: hash of the shared part, the range of the anchor's places in a window, the window's width.
@@ -253,30 +300,33 @@ def compare(cut_pieces: DataFrame, least: int) -> DataFrame:
 
 
 def narrowed(cut_pieces: DataFrame, length: int, least: int) -> DataFrame:
-    """Pieces of groups that are too large, in smaller ones: windows of half the places, or from ``least`` bytes on those of ``length``."""
+    """Pieces of groups that are too large, in smaller ones: windows of half the places, or from ``least`` bytes on those of ``length`` that start there.
+
+    A piece goes where windows of its own are.
+    """
 
     def run(batches):
         for batch in batches:
-            names = [*GROUP, "k1", "k2", "a", "lone", "n_left", "bytes"]
+            names = [*GROUP, "k1", "k2", "a", "lone", "n_left", "low", "bytes"]
             out = [[] for _ in names]
-            for _, o1, o2, width, k1, k2, a, lone, left, data in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+            for _, o1, o2, width, k1, k2, a, lone, left, low, data in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 if o1 < o2:
                     ranges = [(o1, (o1 + o2) // 2, width), ((o1 + o2) // 2 + 1, o2, width)]
                 else:
-                    ranges = [(o1, o1 + length - width, length)]
+                    ranges = [(o1, o1, length)]
                 for p, q, w in ranges:
-                    if max(p, w - (len(data) - left)) <= min(q, left):  # a window lies in the surroundings
+                    if max(p, low, w - (len(data) - left)) <= min(q, left):
                         g = _signed(xxhash.xxh3_64_intdigest(data[left - p : left - q + w], p))
-                        for column, value in zip(out, (g, p, q, w, k1, k2, a, lone, left, data), strict=True):
+                        for column, value in zip(out, (g, p, q, w, k1, k2, a, lone, left, low, data), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, [batch.schema.field(n) for n in names], strict=True)], names)
 
-    schema = "g bigint, o1 int, o2 int, width int, k1 bigint, k2 bigint, a int, lone boolean, n_left int, bytes binary"
-    return cut_pieces.select(*GROUP, "k1", "k2", "a", "lone", "n_left", "bytes").mapInArrow(run, schema)
+    schema = "g bigint, o1 int, o2 int, width int, k1 bigint, k2 bigint, a int, lone boolean, n_left int, low int, bytes binary"
+    return cut_pieces.select(*GROUP, "k1", "k2", "a", "lone", "n_left", "low", "bytes").mapInArrow(run, schema)
 
 
 def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_rows: int = 1 << 16) -> DataFrame:
-    """(k1, k2, lo, hi, other): byte spans that recur elsewhere, all that are maximal up to ``length`` bytes to either side of an anchor.
+    """(k1, k2, lo, hi, other): byte spans that recur elsewhere, all that are maximal in an anchor's surroundings. ``hi`` may lie behind the end of the text, where the span ends.
 
     Every string of ``least`` up to ``length`` bytes that occurs twice lies within a span. ``other`` says that the other place is in another text or in a copy.
     """
@@ -306,7 +356,7 @@ def repeated_spans(keyed: DataFrame, length: int = 400, least: int = 256, group_
     asked = stored(asked.join(one, ["k1", "k2"]).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "asked", F.col("first.doc_id").alias("first_id")), "asked")
     # the id is part of the key, so that the copies of a text are dealt to many tasks
     wanted = keyed.join(asked, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    level = stored(pieces(wanted).select("g", F.lit(0).alias("o1"), F.lit(least - _SEED).alias("o2"), F.lit(least).alias("width"), *place, "lone", "n_left", "bytes"), "pieces")
+    level = stored(pieces(wanted, length).select("g", F.lit(0).alias("o1"), F.lit(least - _SEED).alias("o2"), F.lit(least).alias("width"), *place, "lone", "n_left", "low", "bytes"), "pieces")
     out = None
     while True:
         big = stored(level.groupBy(*GROUP).agg(F.count("*").alias("m"), (F.min(the_text) != F.max(the_text)).alias("other"), (F.min(the_place) != F.max(the_place)).alias("twice")).where(F.col("m") > group_rows), "large")
@@ -359,7 +409,8 @@ def removed(docs: DataFrame, length: int = 400, least: int = 256, passage_words:
         for batch in batches:
             out = [[] for _ in range(6)]
             for t, found in zip(batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
-                text, all_spans = t.as_py(), found.as_py() or ()
+                text = t.as_py()
+                all_spans = [x | {"hi": min(x["hi"], len(text))} for x in found.as_py() or ()]
                 merged = _merged((x["lo"], x["hi"]) for x in all_spans if x["hi"] - x["lo"] >= length)
                 passages = sum(_whole_words(text, lo, hi) > passage_words for lo, hi in _merged((x["lo"], x["hi"]) for x in all_spans if x["other"]))
                 kept, at = hashlib.sha256(), 0

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lineloom.llm import substrings
@@ -72,6 +73,44 @@ def test_matches_brute_force(documents, seed, group_rows, least):
     assert sum(w[-1] for w in want) > 10
 
 
+def test_short_periods_do_not_multiply_pieces(documents, monkeypatch):
+    """Texts that say a word again and again share one seed at many places; a group of them over the bound is split without a row for each place of a window."""
+    rng = random.Random(5)
+    rand = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    texts = [rand(rng.randrange(70)) + "the " * rng.randrange(25, 60) + rand(rng.randrange(70)) for _ in range(40)]
+    rows, plain_stored = [], substrings.stored
+
+    def counted(df, tag):
+        out = plain_stored(df, tag)
+        if tag == "pieces":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "stored", counted)
+    got = {r.doc_id: tuple(r)[1:5] for r in substrings.removed(documents(list(enumerate(texts))), length=120, least=90, group_rows=20).collect()}
+    assert got == dict(enumerate(brute([t.encode() for t in texts], 120)))
+    print(f"pieces by level: {rows}")
+    assert len(rows) > 3 and max(rows) <= 6 * rows[0]
+
+
+def test_longest_prefix_elsewhere_skips_the_own():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randrange(2, 12)
+        extent, owner = [rng.randrange(9) for _ in range(n - 1)], [rng.randrange(3) for _ in range(n)]
+        want = [max([min(extent[min(i, j) : max(i, j)]) for j in range(n) if owner[j] != owner[i]], default=0) for i in range(n)]
+        assert substrings._elsewhere(np.array(extent), np.array(owner)).tolist() == want
+
+
+def test_runs_of_several_texts_are_those_of_each():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab ") for _ in range(n)).encode() for n in (0, 500, 99, 100, 0, 3000, 101, 0)]
+    ends = np.cumsum([len(t) for t in texts])
+    first, last, anchor, core = (x.tolist() for x in substrings._runs(np.frombuffer(b"".join(texts), np.uint8), ends, 100))
+    want = [(f + e - len(t), z + e - len(t), a + e - len(t), c) for t, e in zip(texts, ends.tolist()) for f, z, a, c in substrings.runs(t, 100)]
+    assert list(zip(first, last, anchor, core)) == want
+
+
 def test_runs_cover_all_windows_and_chunks_agree(monkeypatch):
     text = " ".join(map(str, range(3000))).encode()
     whole = substrings.runs(text, 400)
